@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chars, packing
+from folio.llm import abuse, chars, leakage, neardup, packing
 from folio.registry import Registry
 from folio.sources.tables import table
 
@@ -37,3 +37,67 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add("p8_fill")
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), "doc_id", "text"))
+
+
+P9_SQL = r"""
+with i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from heldout_items),
+     iw as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+     t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+     tw as (select doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from t))
+select distinct doc_id, item_id from tw join iw using (g)
+"""
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+@LLM.add("p9_found", P9_SQL)
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+@LLM.add("p9_alignments")
+def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).withColumn("share", F.round(F.col("score") / (2 * F.col("item_words")), 4))
+
+
+@LLM.add("p9_items")
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    leaked = _leaks(spark, d).where("longest_run >= 12")
+    return leaked.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest_run").alias("longest_run"))
+
+
+def _versions(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
+    if name == "nap_voices":
+        return neardup.near_duplicates(table(spark, d, name), "id", "displayText", as_printed=True)
+    return neardup.near_duplicates(table(spark, d, name), "piece_key", "body")
+
+
+@LLM.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _union([_tagged(t, neardup.key_pairs(*_versions(spark, d, t))) for t in ("nap_voices", "tarbell")])
+
+
+@LLM.add("p3_links")
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return _union([_tagged(t, neardup.link_counts(*_versions(spark, d, t))) for t in ("nap_voices", "tarbell")])
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "review_labels"), keep=("source",))
+
+
+@LLM.add("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("passages > 0").select("doc_id").distinct()
+
+
+@LLM.add("p10_scores")
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@LLM.add("p10_rates")
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d), "source")
