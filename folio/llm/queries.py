@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import abuse, chars, leakage, neardup, packing
+from folio.llm import abuse, chars, leakage, names, neardup, packing, truncation
 from folio.registry import Registry
 from folio.sources.tables import table
 
@@ -101,3 +101,51 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add("p10_rates")
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d), "source")
+
+
+def _addressees(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_key, mention) of both tables, the table's name in front of the key; places and dates of titles cut off."""
+    letters = table(spark, d, "wellington").select(F.concat(F.lit("wellington/"), "piece_key").alias("rec_key"), F.col("to").alias("mention"))
+    title = F.regexp_replace("sourceTitle", r",?\s*\d{4}-\d{2}-\d{2}\s*$", "")
+    last = F.lower(F.trim(F.element_at(F.split("title", ","), -1)))
+    voices = table(spark, d, "nap_voices")
+    places = voices.select(F.lower(F.trim("location")).alias("last")).where("last <> ''").distinct().withColumn("place", F.lit(True))
+    cut = F.when(F.col("place") & F.col("title").contains(","), F.regexp_replace("title", r",[^,]*$", "")).otherwise(F.col("title"))
+    titles = (
+        voices.where(F.col("sourceTitle").rlike(r"(?i)^\s*to\s"))
+        .select(F.concat(F.lit("nap_voices/"), "id").alias("rec_key"), title.alias("title"))
+        .withColumn("last", last)
+        .join(places, "last", "left")
+        .select("rec_key", cut.alias("mention"))
+    )
+    return letters.unionByName(titles)
+
+
+@LLM.add("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    linked = names.link_records(_addressees(spark, d), table(spark, d, "correspondents"))
+    key = F.split("rec_key", "/", 2)
+    return linked.select(key[0].alias("tbl"), key[1].alias("rec_key"), "person_id")
+
+
+@LLM.add("p6_variants")
+def p6_variants(spark: SparkSession, d: str) -> DataFrame:
+    said = _addressees(spark, d).where("mention is not null").groupBy("mention").agg(F.count("*").alias("n"))
+    linked = names.link_mentions(said, table(spark, d, "correspondents"))
+    return said.join(linked, "mention").groupBy("person_id").agg(F.count("*").alias("variants"), F.sum("n").alias("records"))
+
+
+def _endings(spark: SparkSession, d: str, name: str) -> DataFrame:
+    text = {"nap_voices": "displayText", "shard_sthelena": "originalText"}[name]
+    return truncation.assess_endings(table(spark, d, name), "id", text, F.col("archive"))
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [_tagged(t, _endings(spark, d, t).where("cut").select("rec_key").distinct()) for t in ("nap_voices", "shard_sthelena")]
+    return _union(parts)
+
+
+@LLM.add("p1_rates")
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _union([_tagged(t, truncation.cut_rates(_endings(spark, d, t))) for t in ("nap_voices", "shard_sthelena")])
