@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import abuse, chars, leakage, names, neardup, packing, truncation
+from folio.llm import abuse, alignment, chars, leakage, names, neardup, packing, truncation
 from folio.registry import Registry
 from folio.sources.tables import table
 
@@ -149,3 +149,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add("p1_rates")
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return _union([_tagged(t, truncation.cut_rates(_endings(spark, d, t))) for t in ("nap_voices", "shard_sthelena")])
+
+
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = alignment.align(table(spark, d, "shard_sthelena"), "id", "originalText", "displayText", table(spark, d, "glossary"))
+    return pairs.toDF("id", "orig_no", "disp_no")
