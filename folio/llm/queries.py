@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import abuse, alignment, chars, leakage, names, neardup, packing, truncation
+from folio.llm import abuse, alignment, chars, leakage, names, neardup, packing, scans, truncation
 from folio.registry import Registry
 from folio.sources.tables import table
 
@@ -155,3 +155,28 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = alignment.align(table(spark, d, "shard_sthelena"), "id", "originalText", "displayText", table(spark, d, "glossary"))
     return pairs.toDF("id", "orig_no", "disp_no")
+
+
+SCANNED = (("tarbell", "piece_key", "body"), ("wellington", "piece_key", "body"), ("nap_1794", "id", "originalText"))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """(key, text) of the three tables, the table's name in front of the key: they share one vocabulary."""
+    return _union(
+        [table(spark, d, t).select(F.concat(F.lit(t + "/"), F.col(k)).alias("key"), F.col(x).alias("text")) for t, k, x in SCANNED]
+    )
+
+
+def _untagged(df: DataFrame, *rest: str) -> DataFrame:
+    key = F.split("rec_key", "/", 2)
+    return df.select(key[0].alias("tbl"), key[1].alias("rec_key"), *rest)
+
+
+@LLM.add("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _untagged(scans.kinds(_scanned(spark, d), "key", "text"), "kind")
+
+
+@LLM.add("p4_texts")
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _untagged(scans.restored(_scanned(spark, d), "key", "text"), "text")
