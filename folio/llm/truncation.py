@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.chars import print_form
+from folio.session import cut_lineage
 
 #: A word is known if it stands inside texts at least this often.
 KNOWN = 2
@@ -151,8 +152,9 @@ def assess_endings(df: DataFrame, key: str, text: str, source: Column) -> DataFr
         .where(F.col("rec_key").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
         .distinct()
     )
-    ends = _endings(slim)
-    pairs = _pair_counts(slim)
+    # both are read several times below and are small beside the texts
+    ends = cut_lineage(_endings(slim))
+    pairs = cut_lineage(_pair_counts(slim))
     known = pairs.groupBy(F.col("last").alias("word")).agg(F.sum("inside").alias("inside"), F.sum("ends").alias("word_ends"))
     nodes = trie_nodes(known.where(F.col("inside") >= KNOWN).select("word"))
     limits = field_limits(ends)
