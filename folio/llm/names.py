@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.chars import print_form
+from folio.session import cut_lineage
 
 # Ranks and the ways people shorten them.
 RANKS = {
@@ -242,13 +243,16 @@ def link_mentions(mentions: DataFrame, directory: DataFrame, *, own_centre: int
     left = _with_bands(counts.select("word"), bands)
     right = _with_bands(listed.select(F.col("listed").alias("word")).distinct(), bands).withColumnRenamed("word", "listed")
     met = left.join(right, "band").select("word", "listed").distinct()
+    # a swap of neighbours is one edit here and two for levenshtein(); a short form is a prefix
+    most = F.floor(2 * (1 - LEAST_PART) * F.greatest(F.length("word"), F.length("listed")) + 1e-9).cast("int")
+    met = met.where((F.levenshtein("word", "listed") <= most) | F.col("listed").startswith(F.col("word")))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = [likeness(a, c) if not (len(a) < len(c) and c.startswith(a)) else 0.92 for a, c in zip(b["word"], b["listed"], strict=True)]
             yield b.assign(similarity=s)[np.array(s, dtype=float) >= LEAST_PART]
 
-    edges = met.mapInPandas(similar, "word string, listed string, similarity double")
+    edges = cut_lineage(met.mapInPandas(similar, "word string, listed string, similarity double"))
     weight = counts.withColumnRenamed("word", "listed").withColumnRenamed("count", "listed_count")
     stars = (
         edges.join(counts, "word").join(weight, "listed", "left")
@@ -270,7 +274,7 @@ def link_mentions(mentions: DataFrame, directory: DataFrame, *, own_centre: int
                 rows += [(m, p, len(found)) for p, _ in found]
             yield pd.DataFrame(rows, columns=["mention", "person_id", "ties"])
 
-    decided = candidates.mapInPandas(decide, f"mention string, person_id {kind}, ties int")
+    decided = cut_lineage(candidates.mapInPandas(decide, f"mention string, person_id {kind}, ties int"))
     sure = decided.where("ties = 1").join(own, "mention").groupBy("person_id").agg(F.sum("n").alias("sure"))
     return (
         decided.join(sure, "person_id", "left")
