@@ -261,10 +261,10 @@ def _block_pairs(hot: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     )
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
         block, fp = t.column("block").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        old, new = fp[block == key[1]].tolist(), fp[block == key[2]].tolist()
         a, b = [], []
-        _tree_pairs(old, new, radius, a, b, key[1] == key[2])
+        _tree_pairs(fp[block == i].tolist(), fp[block == j].tolist(), radius, a, b, i == j)
         return pa.table({"a": pa.array(_signed(a)), "b": pa.array(_signed(b))})
 
     return cells.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
