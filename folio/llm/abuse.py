@@ -28,7 +28,7 @@ MAX_LABELS = 5000
 STRONG = """
 fuck fucks fucked fucker fuckers fucking motherfucker shit shits shitty bullshit shite cunt cunts twat prick wanker
 asshole arsehole bollocks slut sluts slutty whore whores whoring scum scumbag subhuman subhumans untermensch
-nigger faggot dyke tranny kike spic gook retard retarded moron morons imbecile dickhead bugger buggered cock-sucker
+nigger faggot dyke tranny kike spic gook retard retarded moron morons imbecile dickhead bugger buggered cock-sucker whoreson turd arse arse-licker shit-eater
 connard connards connasse enculé enculés enculer salope salopes salaud salauds pute putes putain putains merde merdes
 merdeux foutre niquer bite couille couilles bordel pédé crétin crétins débile abruti ordure raclure sous-homme
 chiennasse trouduc
@@ -43,6 +43,8 @@ undress lick licked kneel strip tits nipples orgasm skirts virgin cock bed vermi
 puant sale crever noyer pendre égorger exterminer chasser bêtes nu nus nue nues seins cuisses gémissant accouplés lécher gorge mort galeux étouffe corde
 """.split()
 STRONG_WEIGHT, WEAK_WEIGHT, BIAS = 5.0, 1.2, -3.5
+#: Log odds below which the best sentence of a document does not bear out its label.
+DOUBT = 0.0
 
 # What a sign may stand for in a disguised word.
 STANDS_FOR = {
@@ -253,7 +255,7 @@ def prior() -> dict[str, float]:
     return dict.fromkeys(WEAK, WEAK_WEIGHT) | dict.fromkeys(STRONG, STRONG_WEIGHT)
 
 
-def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 6, ridge: float = 0.25) -> tuple[dict[str, float], set[str]]:
+def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 8, ridge: float = 0.25) -> tuple[dict[str, float], set[str]]:
     """(weights, triggers) from (restored sentences, label) of documents; without labels the lexicon alone.
 
     A sentence that holds no trigger scores below every threshold; triggers are the lexicon and the words much more
@@ -275,7 +277,8 @@ def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 6
         if kept:
             bags.append((kept, y))
     names = Counter(f for kept, _ in bags for s in kept for f in s)
-    index = {f: i + 1 for i, f in enumerate(sorted(f for f, c in names.items() if c >= 2 or f in base))}
+    least = 2 if len(bags) < 300 else 3
+    index = {f: i + 1 for i, f in enumerate(sorted(f for f, c in names.items() if c >= least or f in base))}
     w0 = np.zeros(len(index) + 1)
     w0[0] = BIAS
     for f, v in base.items():
@@ -283,17 +286,22 @@ def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 6
             w0[index[f]] = v
     rows = [([np.array([index[f] for f in s if f in index], dtype=np.int64) for s in kept], y) for kept, y in bags]
     w = w0.copy()
-    for _ in range(rounds if rows else 0):
+    for r in range(rounds if rows else 0):
         x, y = [], []
         for kept, label in rows:
             z = [w[0] + w[i].sum() for i in kept]
             if label:
                 best = int(np.argmax(z))
+                if r > 1 and z[best] < DOUBT:
+                    continue  # a label that no sentence bears out is taken for a wrong one
                 x.append(kept[best])
                 y.append(1.0)
             else:
-                x += kept
-                y += [0.0] * len(kept)
+                clean = [i for i, v in zip(kept, z, strict=True) if r < 2 or v <= -DOUBT + 1]  # nor one plainly refuted
+                x += clean
+                y += [0.0] * len(clean)
+        if not x:
+            break
         flat, owner, y = np.concatenate(x), np.repeat(np.arange(len(x)), [len(i) for i in x]), np.array(y)
         weight = np.where(y > 0, max(1.0, 0.5 * (len(y) - y.sum()) / max(y.sum(), 1)), 1.0)
         step = np.zeros_like(w)
