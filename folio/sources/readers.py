@@ -39,8 +39,8 @@ def missing_keys(raw: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
 
 def whole_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, text): one row a file; bytes that are not UTF-8 become the replacement character."""
-    binary = spark.read.format("binaryFile").load(paths)
-    return binary.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    whole = spark.read.text(paths, wholetext=True)
+    return whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.make_valid_utf8("value").alias("text"))
 
 
 def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
