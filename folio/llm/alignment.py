@@ -241,6 +241,8 @@ def align(df: DataFrame, key: str, source: str, target: str, word_list: DataFram
         .distinct()
     )
     spark = df.sparkSession
+    # decoding costs far more than moving the texts: spread them over all cores, however few bytes they are
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     stats = _statistics(rows).cache()
     totals = {r["k"]: r["n"] for r in stats.where("f = '' and e = ''").collect()}
     nf, ne = totals.get("df", 0), totals.get("de", 0)
