@@ -45,6 +45,12 @@ puant sale crever noyer pendre égorger exterminer chasser bêtes nu nus nue nue
 STRONG_WEIGHT, WEAK_WEIGHT, BIAS = 5.0, 1.2, -3.5
 #: Log odds below which the best sentence of a document does not bear out its label.
 DOUBT = 0.0
+#: Score from which a sentence counts as a passage.
+PASSAGE = 0.4
+#: Share of the abusive documents that must hold a word before it can be a trigger.
+TRIGGER_SHARE = 0.005
+#: Ridge that holds strong words to their weight.
+STRONG_HOLD = 3.0
 
 # What a sign may stand for in a disguised word.
 STANDS_FOR = {
@@ -268,8 +274,9 @@ def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 8
         seen[y].update({w for t in toks for w in t if w[0] != "<"})
     n = {y: sum(1 for _, z in docs if z == y) for y in (0, 1)}
     triggers = set(base)
+    enough = max(2, round(TRIGGER_SHARE * n[1]))  # a rare word is in abusive documents only by chance
     for w, k in seen[1].items():
-        if k >= 2 and (k / max(n[1], 1)) > 6 * (seen[0][w] + 0.5) / (n[0] + 1):
+        if k >= enough and (k / max(n[1], 1)) > 6 * (seen[0][w] + 0.5) / (n[0] + 1):
             triggers.add(w)
     bags = []
     for toks, y in docs:
@@ -285,6 +292,11 @@ def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 8
         if f in index:
             w0[index[f]] = v
     rows = [([np.array([index[f] for f in s if f in index], dtype=np.int64) for s in kept], y) for kept, y in bags]
+    # a single wrong label must not outweigh what is known of a word: the lexicon is held to its weights
+    hold = np.full(len(w0), ridge)
+    for f, v in base.items():
+        if f in index:
+            hold[index[f]] = STRONG_HOLD if v >= STRONG_WEIGHT else ridge
     w = w0.copy()
     for r in range(rounds if rows else 0):
         x, y = [], []
@@ -308,7 +320,7 @@ def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 8
         for k in range(150):
             z = np.bincount(owner, w[flat], len(x)) + w[0]
             g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            grad = np.bincount(flat, g[owner], len(w)) + ridge * (w - w0)
+            grad = np.bincount(flat, g[owner], len(w)) + hold * (w - w0)
             grad[0] = g.sum() + ridge * (w[0] - w0[0])
             step += grad * grad
             w = w - 0.3 * grad / (np.sqrt(step) + 1e-6)
@@ -350,7 +362,7 @@ def score_documents(
 ) -> DataFrame:
     """(doc_id, *keep, score, passages, worst): the score of each document's worst sentence, and that sentence.
 
-    ``passages`` counts sentences scoring 0.5 or more. Null and empty texts score 0. Every row of the table gives a
+    ``passages`` counts sentences scoring ``PASSAGE`` or more. Null and empty texts score 0. Every row of the table gives a
     row, repeated ones too. ``labels`` may be empty (the lexicon alone scores then); of several labels of a document
     the majority counts, ties as abusive. At most ``max_labels`` labelled documents are used for fitting. The
     columns ``doc_id``, ``text`` and ``keep`` of the documents are read; clashing names in ``labels`` do not matter.
@@ -384,7 +396,7 @@ def score_documents(
                     if triggers.isdisjoint(tok):
                         continue
                     p = score_sentence(tok, weights)
-                    count[i] += p >= 0.5
+                    count[i] += p >= PASSAGE
                     if p > best[i]:
                         best[i], worst[i] = p, s
             out = b.drop(columns="text")
