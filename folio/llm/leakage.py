@@ -1,14 +1,13 @@
-"""Held-out passages inside a corpus: rare n-gram seeds, then Smith-Waterman alignment of whole texts.
+"""Held-out passages inside a corpus: n-gram seeds, then Smith-Waterman alignment of whole texts.
 
 The held-out items are the stated query set; they are taken in blocks of a bounded number of items, and a block's
-vocabulary and seeds are broadcast. The corpus is read once a block; only documents that hold a seed go on. From the
-seeds' document frequencies over the whole corpus each window of ``min_run`` words of an item keeps its rarest seed,
-so no exact passage of that length can be missed, and frequent phrases bring no candidates of their own.
+vocabulary and seeds are broadcast. The corpus is read once a block. Every document that shares a seed with an item is
+aligned with it, however rare or frequent the seed: an edited copy keeps only the seeds between its edits, and which
+of them those are cannot be told from the item. Alignment is cut down to the stretches of a document that can score.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.words import words
-from folio.session import cut_lineage
 
 #: Items whose vocabulary and seeds are broadcast at once: about 100 bytes a word, 50 words an item, so 250 MB at most.
 BLOCK_ITEMS = 50_000
@@ -42,19 +40,50 @@ def seed_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     """(best local alignment score, longest run of equal consecutive words) of two sequences of word numbers."""
-    cols = np.arange(len(doc) + 1, dtype=np.int64) * GAP
+    cols = np.arange(1, len(doc) + 1, dtype=np.int64) * GAP
     above, run = np.zeros(len(doc) + 1, dtype=np.int64), np.zeros(len(doc) + 1, dtype=np.int64)
-    best = longest = 0
+    best, longest = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64)
     for w in item:
         same = doc == w
-        now = np.zeros_like(above)
-        now[1:] = np.maximum(above[:-1] + np.where(same, MATCH, MISMATCH), above[1:] - GAP)
+        now = above[:-1] + np.where(same, MATCH, MISMATCH)
+        np.maximum(now, above[1:] - GAP, out=now)
         np.maximum(now, 0, out=now)
-        above = np.maximum.accumulate(now + cols) - cols
-        grown = np.zeros_like(run)
-        grown[1:] = np.where(same, run[:-1] + 1, 0)
-        run = grown
-        best, longest = max(best, int(above.max())), max(longest, int(run.max()))
+        now += cols
+        np.maximum.accumulate(now, out=now)
+        np.subtract(now, cols, out=above[1:])
+        run[1:] = (run[:-1] + 1) * same
+        np.maximum(best, above[1:], out=best)
+        np.maximum(longest, run[1:], out=longest)
+    return int(best.max(initial=0)), int(longest.max(initial=0))
+
+
+def stretches(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """[(bound, start, end)], highest bound first: the parts of ``doc`` outside of which no best alignment or run goes.
+
+    A word of the document adds at most MATCH if the item has it and takes at least 1 otherwise. Where these bounds
+    sum up to nothing since the last such place, dropping all before never makes an alignment worse. ``bound`` is the
+    most that an alignment inside a part can score.
+    """
+    total = np.cumsum(np.where(np.isin(doc, item), MATCH, max(MISMATCH, -GAP)))
+    rest = total - np.minimum(np.minimum.accumulate(total), 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], rest > 0, [False]]).astype(np.int8)))
+    if not len(edges):
+        return []
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.maximum.reduceat(rest, starts)
+    order = np.argsort(-bounds, kind="stable")
+    return list(zip(bounds[order].tolist(), starts[order].tolist(), ends[order].tolist(), strict=True))
+
+
+def align_parts(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
+    """What ``align`` gives, from those stretches of ``doc`` alone whose bound is above what is found already."""
+    best = longest = 0
+    for bound, a, b in stretches(item, doc):
+        if bound <= best and bound // MATCH <= longest:
+            break
+        part = doc[a:b]
+        score, run = align(item, part) if len(item) < len(part) else align(part, item)
+        best, longest = max(best, score), max(longest, run)
     return best, longest
 
 
@@ -68,18 +97,17 @@ class _Block:
             w = words(text)
             if len(w) >= min_run:
                 self.items[key] = np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], dtype=np.int64)
-        self.seeds = {k: seed_hashes(v, seed) for k, v in self.items.items()}
-        self.all = np.unique(np.concatenate([*self.seeds.values(), np.empty(0, dtype=np.uint64)]))
+        keys = list(self.items)
+        seeds = [seed_hashes(self.items[k], seed) for k in keys]
+        flat = np.concatenate([*seeds, np.empty(0, dtype=np.uint64)])
+        owner = np.repeat(np.arange(len(keys)), [len(h) for h in seeds])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.seeds, self.owners = keys, flat[order], owner[order]
 
-    def rare(self, df: dict[int, int], seed: int, min_run: int) -> dict[int, list[int]]:
-        """The rarest seed of each window of ``min_run`` words, and the items it stands for."""
-        out = defaultdict(set)
-        span = min_run - seed + 1
-        for key, h in self.seeds.items():
-            n = np.array([df.get(int(x), 0) for x in h])
-            for a in range(len(h) - span + 1):
-                out[int(h[a + int(np.argmin(n[a : a + span]))])].add(key)
-        return {k: sorted(v) for k, v in out.items()}
+    def sharing(self, hashes: np.ndarray) -> list[int]:
+        """The items that hold one of these seeds."""
+        lo, hi = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
+        return sorted({self.keys[o] for a, b in zip(lo[lo < hi], hi[lo < hi], strict=True) for o in self.owners[a:b]})
 
 
 def _numbered(number: dict[str, int], text: str) -> np.ndarray:
@@ -99,7 +127,7 @@ def leaked_passages(
     seed: int = 5,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, item_words): each document that shares a rare seed with an item.
+    """(doc_id, item_id, score, longest_run, item_words): each document that shares a seed with an item.
 
     ``score`` is the Smith-Waterman score (2 a matching word, -1 a mismatch, -1 a gap), so ``score / (2 * item_words)``
     is near 1 for whole copies, edited or not; ``longest_run`` counts equal consecutive words. Null and empty texts
@@ -116,42 +144,25 @@ def leaked_passages(
     for b in range(blocks):
         part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else own
         block = _Block([tuple(r) for r in part.collect()], seed, min_run)
-        out.append(_leaks_of_block(spark, slim, block, kinds[0], schema, seed, min_run))
+        out.append(_leaks_of_block(spark, slim, block, schema, seed))
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
     return result.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "longest_run", "item_words")])
 
 
-def _leaks_of_block(spark, slim: DataFrame, block: _Block, kind: str, schema: str, seed: int, min_run: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast((block.number, block.all))
+def _leaks_of_block(spark, slim: DataFrame, block: _Block, schema: str, seed: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast(block)
 
-    def holds_seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, all_seeds = shared.value
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
         for batch in batches:
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = _numbered(number, text)
+                ids = _numbered(own.number, text)
                 h = seed_hashes(ids, seed)
-                h = np.unique(h[h > 0])
-                if len(h) and len(hit := h[np.isin(h, all_seeds)]):
-                    rows.append((key, ids.astype("int32"), hit.view("int64")))
-            yield pd.DataFrame(rows, columns=["doc_id", "ids", "hits"])
-
-    holders = cut_lineage(slim.mapInPandas(holds_seed, f"doc_id {kind}, ids array<int>, hits array<long>"))
-    counts = holders.select(F.explode("hits").alias("h")).groupBy("h").count().collect()
-    df = {int(np.int64(r["h"]).view("uint64")): r["count"] for r in counts}
-    rare = spark.sparkContext.broadcast((block.rare(df, seed, min_run), block.items))
-
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, items = rare.value
-        for batch in batches:
-            rows = []
-            for key, ids, hits in zip(batch["doc_id"], batch["ids"], batch["hits"], strict=True):
-                found = {i for h in np.asarray(hits, dtype="int64").view("uint64") for i in seeds.get(int(h), ())}
-                doc = np.asarray(ids, dtype="int64")
-                for i in sorted(found):
-                    rows.append((key, i, *align(items[i], doc), len(items[i])))
+                for i in own.sharing(np.unique(h[h > 0])):
+                    rows.append((key, i, *align_parts(own.items[i], ids), len(own.items[i])))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run", "item_words"])
 
-    return holders.mapInPandas(aligned, schema)
+    return slim.mapInPandas(aligned, schema)

@@ -50,3 +50,26 @@ def test_alignment_of_an_edited_copy():
     score, run = leakage.align(item, doc)
     assert run == 10 and score >= 2 * 28 - 2
     assert leakage.align(item, np.zeros(0, int)) == (0, 0)
+
+
+def test_copies_edited_every_few_words_are_aligned(spark):
+    r = random.Random(5)
+    items = [(i, [f"w{r.randrange(4000)}" for _ in range(45)]) for i in range(60)]
+    docs = []
+    for i, w in items:
+        step = 8 + i % 3
+        copy = [f"edit{i}" if k % step == step - 1 else x for k, x in enumerate(w)]
+        docs.append((i, " ".join([f"w{r.randrange(4000)}" for _ in range(30)] + copy)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in leakage.leaked_passages(d, t).collect()}
+    assert all(got.get((i, i), 0) >= 2 * 45 - 3 * 5 for i in range(60))
+
+
+def test_stretches_lose_nothing():
+    r = np.random.default_rng(7)
+    for _ in range(300):
+        item, doc = r.integers(1, 12, r.integers(5, 30)), r.integers(0, 40, r.integers(0, 120))
+        if len(doc) > 30:
+            doc[10 : 10 + len(item) // 2] = item[: len(item) // 2]
+        assert leakage.align_parts(item, doc) == leakage.align(item, doc)
