@@ -25,6 +25,8 @@ from folio.session import cut_lineage
 
 BITS = 64
 BLOOM_BITS = 1 << 25
+#: Shingles in this share of a batch are counted as frequent; so many of them at most are broadcast.
+FREQUENT, MOST_FREQUENT = 0.0003, 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -155,28 +157,69 @@ def fingerprints(df: DataFrame, key: str, text: str, *, width: int, min_words: i
     return slim.mapInArrow(run, "key string, fp long, sh array<int>").withColumn("cls", F.xxhash64("sh"))
 
 
-def _band_rows(table: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, fp): the shard keys of each set, distinct fingerprints only."""
+def frequent_in(values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of those held by more than a small share of the rows of a batch."""
+    h, n = np.unique(values, return_counts=True)
+    keep = n >= max(3, FREQUENT * rows)
+    return h[keep], n[keep]
+
+
+def _frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted by shingle: at most ``MOST_FREQUENT`` that many sets hold, counted by batches.
+
+    They serve to put frequent shingles last in the order of prefixes. Any order is right, so a count may be low.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = frequent_in(b.column("sh").flatten().to_numpy().view(np.uint32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["h", "n"])
+
+    sums = table.select("sh").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = sums.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = found.column(0).to_numpy().astype(np.uint32), found.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(offsets: np.ndarray, hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each shingle is in the prefix of its set; the order is by count as far as counted, then by hash.
+
+    Sets of n and m shingles at Jaccard similarity t share at least t * n of them, so one of the first n - t * n + 1
+    of the one is among the first of the other, in any order that is the same for all sets.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    known, counts = frequent
+    n = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        n = np.where(known[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, n, owner))
+    length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order] = np.arange(len(hashes)) - offsets[owner] < length[owner]
+    return out
+
+
+def _prefix_rows(table: DataFrame, similarity: float) -> DataFrame:
+    """(band, fp): the shard keys of each set, the shingles of its prefix."""
+    frequent = table.sparkSession.sparkContext.broadcast(_frequent(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds(BITS + bands * rows)[BITS:]
+        counts = frequent.value
         for b in batches:
             if not b.num_rows:
                 continue
             lists = b.column("sh")
-            off = lists.offsets.to_numpy()
+            off = lists.offsets.to_numpy().astype(np.int64)
             values = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint32)
-            mh = min_hashes(off - off[0], values, seeds).astype(np.uint64)
-            keys = np.empty((b.num_rows, bands), dtype=np.uint64)
-            for i in range(bands):
-                h = np.full(b.num_rows, i + 1, dtype=np.uint64)
-                for r in range(rows):
-                    h = _mix(h * np.uint64(31) + mh[i * rows + r])
-                keys[:, i] = h
-            off = np.arange(0, b.num_rows * bands + 1, bands)
-            yield pa.RecordBatch.from_arrays([b.column("fp"), _list(keys.ravel().view(np.int64), off)], names=["fp", "bands"])
+            off = off - off[0]
+            keep = prefix_of(off, values, counts, similarity)
+            fp = np.repeat(b.column("fp").to_numpy(), np.diff(off))
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(fp[keep])], names=["band", "fp"])
 
-    return table.select("fp", "sh").mapInArrow(run, "fp long, bands array<long>").select(F.explode("bands").alias("band"), "fp")
+    return table.select("fp", "sh").mapInArrow(run, "band long, fp long")
 
 
 def _tree_pairs(old: list[int], new: list[int], radius: int, out_a: list[int], out_b: list[int], itself: bool) -> None:
@@ -295,8 +338,6 @@ def near_duplicates(
     similarity: float = 0.5,
     width: int = 3,
     min_words: int = 12,
-    bands: int = 32,
-    rows: int = 4,
     shard_rows: int = 2000,
     as_printed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
@@ -305,11 +346,11 @@ def near_duplicates(
     Texts shorter than ``min_words`` words, null texts and rows with a null key take no part; rows repeated with key
     and text count once; texts with equal sets are one class and are never paired with each other. Similarity is the
     exact Jaccard similarity of the sets of 32-bit shingle hashes. Empty tables give empty results; other columns are
-    not read. ``band_recall`` tells what share of pairs of a similarity meets in a shard.
+    not read. Every pair of at least this similarity meets in a shard; ``radius_for`` tells which the tree keeps.
     """
     radius = radius_for(similarity)
     prints = cut_lineage(fingerprints(df, key, text, width=width, min_words=min_words, as_printed=as_printed))
-    shards = _band_rows(prints, bands, rows)
+    shards = _prefix_rows(prints, similarity)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_shards = shards.repartition(n, "band").sortWithinPartitions("band")
     first = cut_lineage(sorted_shards.mapInArrow(_shard_pairs(radius, shard_rows), "kind int, a long, b long").distinct())

@@ -68,3 +68,22 @@ def test_tree_returns_all_within_the_radius():
 def test_recall_of_bands():
     assert neardup.band_recall(0.6, 32, 4) > 0.98
     assert neardup.radius_for(0.5) == 28
+
+
+def test_every_pair_at_the_threshold_meets_in_a_shard(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(400):
+        own = [f"v{r.randrange(5000)}" for _ in range(63)]
+        texts += [own, own[:43] + [f"v{r.randrange(5000)}" for _ in range(20)]]
+    df = spark.createDataFrame([(f"k{i}", " ".join(w)) for i, w in enumerate(texts)], "id string, t string")
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in texts]
+    want = {tuple(sorted((f"k{i}", f"k{i + 1}"))) for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.5 * len(sets[i] | sets[i + 1])}
+    assert len(want) > 350
+    prints = neardup.fingerprints(df, "id", "t", width=3, min_words=12, as_printed=False)
+    shards = neardup._prefix_rows(prints, 0.5).join(prints.select("fp", "key"), "fp").select("band", "key")
+    met = shards.join(shards.withColumnRenamed("key", "other"), "band").where("key <> other").select("key", "other").distinct()
+    assert want <= {(min(x), max(x)) for x in met.collect()}
+    links, members = neardup.near_duplicates(df, "id", "t")
+    got = {tuple(sorted((x.key_a, x.key_b))) for x in neardup.key_pairs(links, members).collect()}
+    assert got <= want and len(want - got) <= 2  # the tree's radius keeps all but 4 in 10,000 at the threshold
