@@ -153,18 +153,33 @@ def places_resolved(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("raw").agg(F.min_by("place", F.struct("edits", "place")).alias("place"), F.min("edits").alias("edits"))
 
 
+# Months of the revolutionary calendar as spelled; they have no number here.
+REVOLUTIONARY = (
+    "vendemiaire", "vendémiaire", "brumaire", "frimaire", "nivose", "nivôse", "pluviose", "pluviôse", "ventose", "ventôse", "germinal", "floreal",
+    "floréal", "prairial", "messidor", "thermidor", "fructidor",
+)
+#: The reference takes the nearest name from this ratio on.
+NEAR_MONTH = 0.38
+
+
 @pandas_udf(IntegerType())
 def _nearest_month(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    names = [(n, w) for n, ws in MONTHS.items() for w in ws if len(w) > 3]
+    import re
+
+    names = [(ws[0], n) for n, ws in MONTHS.items()] + [(w, None) for w in REVOLUTIONARY]
+
+    def nearest(x: str | None) -> int | None:
+        letters = re.sub(r"[^A-Za-z]", "", x or "").lower()
+        ratio, n = max(((SequenceMatcher(None, letters, w).ratio(), n) for w, n in names), key=lambda b: b[0])
+        return n if letters and ratio >= NEAR_MONTH else None
+
     for s in batches:
-        yield pd.Series([max((SequenceMatcher(None, x.lower(), w).ratio(), -n) for n, w in names) if x else None for x in s], dtype=object).map(
-            lambda b: -b[1] if b and b[0] >= 0.6 else None
-        ).astype("Int32")
+        yield pd.Series([nearest(x) for x in s], dtype="Int32")
 
 
 @CORE.add("months_guessed")
 def months_guessed(spark: SparkSession, d: str) -> DataFrame:
-    """Months as written and the month they come nearest to, by difflib's ratio of distinct spellings."""
+    """Months as written and the month they come nearest to, by difflib's ratio of distinct spellings; null for a revolutionary one."""
     spelled = dispatches(spark, d).where("trim(month) <> ''").groupBy("month", "mm").agg(F.count("*").alias("n"))
     return spelled.select("month", "n", "mm", _nearest_month("month").alias("nearest"))
 

@@ -74,3 +74,25 @@ def test_cleaning_is_idempotent(spark):
     rows = spark.createDataFrame([("a-\nb  c ,, d",), ("^x..",), ("",), (None,)], "x string")
     once = rows.select(text.clean(F.col("x")).alias("x"))
     assert once.exceptAll(once.select(text.clean(F.col("x")).alias("x"))).count() == 0
+
+
+def test_nearest_month_against_brute_force(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    from folio.plans.drafting import _nearest_month
+
+    english = "January February March April May June July August September October November December".split()
+    rev = "Vendemiaire Vendémiaire Brumaire Frimaire Nivose Nivôse Pluviose Pluviôse Ventose Ventôse Germinal Floreal Floréal Prairial Messidor Thermidor Fructidor".split()
+    seen = ["May", "May.", "Nov", "Nov.", "Dec.", "Feb.", "Oct.", "Jan.", "JUNE", "Febr^uary", "Octo6er", "Brumaire", "Ventôse", "12", "", None, "xyz", "Sopt."]
+    expected = {}
+    for x in seen:
+        w = re.sub("[^A-Za-z]", "", x or "").lower()
+        best, score = None, 0.0
+        for m in english + rev if w else ():
+            if (r := SequenceMatcher(None, w, m.lower()).ratio()) > score:
+                best, score = m, r
+        expected[x] = english.index(best) + 1 if best in english and score >= 0.38 else None
+    got = {r["m"]: r["n"] for r in spark.createDataFrame([(x,) for x in seen], "m string").select("m", _nearest_month("m").alias("n")).collect()}
+    assert got == expected
+    assert [got[x] for x in ("May", "May.", "Nov.", "Dec.", "Feb.", "Oct.", "Jan.")] == [5, 5, 11, 12, 2, 10, 1]
