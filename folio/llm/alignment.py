@@ -144,8 +144,10 @@ class Lexicon:
             self.by_target[e].append((f, d))
 
     def weight(self, word: str, target: bool) -> float:
-        n, k = (self.ne, self.de.get(word, 1)) if target else (self.nf, self.df.get(word, 1))
-        return math.log(1 + n / k)
+        n, counts = (self.ne, self.de) if target else (self.nf, self.df)
+        # a word left out for its share counts as much as the share, so that its weight is the same at every size
+        left_out = SHARE * n if SHARE * n > LEAST_COUNT else 1
+        return math.log(1 + n / counts.get(word, left_out))
 
 
 def similarities(source: list[list[str]], target: list[list[str]], lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

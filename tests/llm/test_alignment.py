@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from folio.llm import alignment
 
 FR = ["Le pont de {0} est tenu par {1} hommes.", "Envoyez {1} chevaux à {0}.", "Le moulin de {0} fut brûlé le {1} mai.", "Nous passerons à {0} avec {1} canons."]
@@ -46,3 +48,9 @@ def test_sentences():
     assert alignment.split_sentences("“One. Two 1.500 men! Three”") == ["“One.", "Two 1.500 men!", "Three”"]
     assert alignment.split_sentences("One. […]”") == ["One."]
     assert alignment.split_sentences(None) == alignment.split_sentences("") == []
+
+
+def test_a_word_left_out_of_the_counts_weighs_the_same_at_every_size():
+    weights = [alignment.Lexicon({}, {}, n, n, {}).weight("rare", side) for n in (10_000, 25_694, 2_569_400) for side in (False, True)]
+    assert max(weights) - min(weights) < 1e-9
+    assert abs(alignment.Lexicon({}, {}, 3_000, 3_000, {}).weight("once", True) - np.log(3_001)) < 1e-9
