@@ -7,7 +7,9 @@ checkpoint folder is taken from ``spark.checkpoint.dir`` wherever that is set.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +32,15 @@ def get_session(app: str = "folio", cpus: int | None = None, shuffle: int | None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own setting, or a private one where it is unset (tests)."""
+    """The shared checkpoint folder: the session's own setting, or a private one where it is unset in local mode.
+
+    A folder of one machine would lose data on a cluster, so there an unset ``spark.checkpoint.dir`` is an error.
+    """
     sc = spark.sparkContext
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,6 +51,26 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def write_shared(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: like ``cut_lineage``, but compressed and by column.
+
+    For wide tables that are read several times for different columns. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly work on each row: shuffled only if its scan has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 
