@@ -1,16 +1,20 @@
-"""Groups of records whose texts are re-edited versions of one another, by BK-trees in min-hash shards.
-
-A text is the set of its distinct runs of ``width`` words. Each set gets a 64-bit fingerprint whose bits are the
-lowest bits of 64 min-hash values, so the Hamming distance of two fingerprints estimates their Jaccard similarity.
-One tree over all fingerprints would prune nothing at a similarity of one half (the radius is 27 of 64 bits), and it
-would have to be broadcast whole. Fingerprints are therefore dealt to shards by min-hash bands; a shard is small, its
-BK-tree is built where its rows are, and only edges within the radius are followed. Pairs found are verified exactly.
-A shard larger than ``shard_rows`` fingerprints is cut into blocks, and every pair of blocks is a task of its own.
+"""Groups of records whose texts are re-edited versions of one another, by BK-trees in shards of rare shingles.
+
+A text is the set of its distinct runs of ``width`` words. Sets at Jaccard similarity t share a shingle of their
+prefixes (the rarer part of each set), so every pair at t or more meets in the shard of such a shingle. Each set has a
+fingerprint of 64 letters of two bits, from 64 min-hash values; the number of letters in which two fingerprints differ
+(their Hamming distance) falls with the similarity. The sets of a shard form a BK-tree, built where its rows are, and
+only edges that can lead within the radius are followed. Pairs found are verified exactly on the whole sets.
+
+Only the order of shingles by rarity needs a count over all texts. It comes from a sketch of fixed size, which never
+takes a shingle of two sets for one of a single set: so shingles of a single set, most of all, are left out without
+loss, and a shingle of very many sets is split into pairs of blocks before its rows are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,61 +25,130 @@ from pyspark.sql import functions as F
 
 from folio.llm.chars import print_form
 from folio.llm.words import words
-from folio.session import cut_lineage
-
-BITS = 64
+from folio.session import spread, write_shared
+
+#: Letters of a fingerprint; each is two bits of a min-hash value.
+LETTERS = 64
+#: Probability with which the radius may miss a pair at exactly the wanted similarity.
+MISS = 5e-5
+#: Cells of the counting sketch (one byte each once merged) and the chunks in which it is merged.
+CELL_BITS, CHUNK_BITS = 24, 18
 BLOOM_BITS = 1 << 25
-#: Shingles in this share of a batch are counted as frequent; so many of them at most are broadcast.
-FREQUENT, MOST_FREQUENT = 0.0003, 200_000
+#: Sizes from here on are not told apart where they are sent in two bytes.
+MANY = 65535
+#: Sets a task remembers as sent; what it has forgotten is sent once more and falls out later.
+REMEMBERED = 500_000
+#: Queries walk the trees so many possible visits at a time; bounds the memory of a task.
+VISITS = 4_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def radius_for(similarity: float, deviations: float = 3.2) -> int:
-    """Hamming radius that keeps pairs of at least this similarity, but for so many standard deviations."""
-    p = (1 - similarity) / 2
-    return math.ceil(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
+def radius_for(similarity: float, miss: float = MISS) -> int:
+    """The least Hamming radius that misses a pair of this similarity with at most this probability."""
+    p = (1 - similarity) * 0.75  # letters of different min-hash values are equal by chance once in four
+    tail, r = 1.0, -1
+    while tail > miss:
+        r += 1
+        tail -= math.comb(LETTERS, r) * p**r * (1 - p) ** (LETTERS - r)
+    return r
 
 
-def band_recall(similarity: float, bands: int, rows: int) -> float:
-    """Probability that two sets of this similarity share a shard."""
-    return 1 - (1 - similarity**rows) ** bands
+def distances(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> np.ndarray:
+    """Letters in which fingerprints differ; ``lo`` holds the first bit of each letter, ``hi`` the second."""
+    return np.bitwise_count((a_lo ^ b_lo) | (a_hi ^ b_hi)).astype(np.int64)
 
 
-class BKTree:
-    """Fingerprints by Hamming distance: each child of a node hangs at its integer distance to the node."""
+class BKForest:
+    """One BK-tree for each group of fingerprints, all of them built and walked together, level by level.
 
-    __slots__ = ("prints", "children")
+    Each child of a node hangs at its integer distance to the node. ``group`` must be sorted; the first fingerprint
+    of a group is the root of its tree, and the trees are those that adding one by one would give.
+    """
 
-    def __init__(self) -> None:
-        self.prints: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, fp: int) -> None:
-        """Adds a fingerprint; one that is there already changes nothing."""
-        if not self.prints:
-            self.prints.append(fp)
-            self.children.append({})
-            return
-        at = 0
-        while d := (fp ^ self.prints[at]).bit_count():
-            child = self.children[at].get(d)
-            if child is None:
-                self.children[at][d] = len(self.prints)
-                self.prints.append(fp)
-                self.children.append({})
-                return
-            at = child
-
-    def within(self, fp: int, radius: int) -> list[int]:
-        """All fingerprints at most ``radius`` away; only edges that can lead to one are followed."""
-        out, stack = [], [0] if self.prints else []
-        while stack:
-            at = stack.pop()
-            d = (fp ^ self.prints[at]).bit_count()
-            if d <= radius:
-                out.append(self.prints[at])
-            stack += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
-        return out
+    def __init__(self, group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.lo, self.hi, self.visited = lo, hi, 0
+        n = len(group)
+        self.root_of = np.searchsorted(group, group, "left")
+        self.edges, self.child = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        edges, child = [], []
+        at = np.arange(n)
+        parent = self.root_of
+        at, parent = at[at != parent], parent[at != parent]
+        while len(at):
+            key = parent * (LETTERS + 1) + distances(lo[at], hi[at], lo[parent], hi[parent])
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            edges.append(key[first])
+            child.append(at[first])
+            parent = at[first][np.cumsum(first) - 1]
+            at, parent = at[~first], parent[~first]
+        if edges:
+            keys, kids = np.concatenate(edges), np.concatenate(child)
+            order = np.argsort(keys)
+            self.edges, self.child = keys[order], kids[order]
+
+    def within(self, queries: np.ndarray, roots: np.ndarray, q_lo: np.ndarray, q_hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node): all nodes at most ``radius`` from each query in the tree of its root."""
+        found_q, found_n = [], []
+        q, node, lo, hi = queries, roots, q_lo, q_hi
+        while len(q):
+            self.visited += len(q)
+            d = distances(lo, hi, self.lo[node], self.hi[node])
+            hit = d <= radius
+            found_q.append(q[hit])
+            found_n.append(node[hit])
+            base = node * (LETTERS + 1)
+            a = np.searchsorted(self.edges, base + np.maximum(d - radius, 1), "left")
+            b = np.searchsorted(self.edges, base + np.minimum(d + radius, LETTERS), "right")
+            n = np.maximum(b - a, 0)
+            starts = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            node = self.child[starts + np.arange(n.sum())] if len(self.child) else np.empty(0, dtype=np.int64)
+            q, lo, hi = np.repeat(q, n), np.repeat(lo, n), np.repeat(hi, n)
+        none = np.empty(0, dtype=np.int64)
+        return np.concatenate([none, *found_q]), np.concatenate([none, *found_n])
+
+
+def cell_pairs(
+    cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, size: np.ndarray, radius: int, similarity: float
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j, nodes visited): pairs of rows of one cell whose fingerprints are within the radius and that ``can_reach``.
+
+    The last two bits of a cell's number tell the side: 0 pairs all of a cell, rows of 1 are paired with those of 2.
+    Rows of one cell and fingerprint count once, with the greatest rest and the least size among them.
+    """
+    none = np.empty(0, dtype=np.int64)
+    if not len(cell):
+        return none, none, 0
+    order = np.lexsort((hi, lo, cell))
+    c, x, y = cell[order], lo[order], hi[order]
+    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    rest, size = np.maximum.reduceat(rest[order], first), np.minimum.reduceat(size[order], first)
+    order, c, x, y = order[first], c[first], x[first], y[first]
+    side = c & 3
+    out_i, out_j, visited = [none], [none], 0
+    for tree_side, query_side in ((0, 0), (1, 2)):
+        t, q = np.flatnonzero(side == tree_side), np.flatnonzero(side == query_side)
+        shard_t, shard_q = c[t] >> 2, c[q] >> 2
+        forest = BKForest(shard_t, x[t], y[t])
+        root = np.searchsorted(shard_t, shard_q, "left")
+        members = np.searchsorted(shard_t, shard_q, "right") - root
+        keep = members > (1 if tree_side == 0 else 0)
+        q, root, members = q[keep], root[keep], members[keep]
+        cuts = np.searchsorted(np.cumsum(members), np.arange(VISITS, members.sum() + VISITS, VISITS)) + 1 if len(q) else []
+        begin = 0
+        for end in cuts:
+            part = slice(begin, min(int(end), len(q)))
+            i, j = forest.within(q[part], root[part], x[q[part]], y[q[part]], radius)
+            j = t[j]
+            keep = can_reach(rest[i], size[i], rest[j], size[j], similarity)
+            if tree_side == 0:
+                keep &= i < j
+            out_i.append(order[i[keep]])
+            out_j.append(order[j[keep]])
+            begin = part.stop
+        visited += forest.visited
+    return np.concatenate(out_i), np.concatenate(out_j), visited
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,23 +161,28 @@ def _seeds(n: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], width: int, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, offsets, hashes): the sorted distinct 32-bit shingle hashes of all texts, end to end."""
+def shingle_sets(texts: list[str | None], width: int, cache: dict[str, int], salts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, offsets, hashes): the sorted distinct 32-bit shingle hashes of all texts, end to end.
+
+    Texts of different ``salts`` share no shingle.
+    """
     counts, flat = np.zeros(len(texts), dtype=np.int64), []
+    get = cache.get
     for i, t in enumerate(texts):
         w = words(t)
         counts[i] = len(w)
-        for x in w:
-            h = cache.get(x)
-            if h is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                h = cache[x] = xxhash.xxh64_intdigest(x)
-            flat.append(h)
+        h = [get(x) for x in w]
+        if None in h:
+            if len(cache) > 500_000:
+                cache.clear()
+            for k, x in enumerate(w):
+                if h[k] is None:
+                    h[k] = cache[x] = xxhash.xxh64_intdigest(x)
+        flat += h
     ids = np.array(flat, dtype=np.uint64)
     doc = np.repeat(np.arange(len(texts)), counts)
     m = max(len(ids) - width + 1, 0)
-    h = np.zeros(m, dtype=np.uint64)
+    h = np.zeros(m, dtype=np.uint64) if salts is None else salts[doc[:m]]
     for k in range(width):
         h = _mix(h * np.uint64(31) + ids[k : k + m])
     same = doc[:m] == doc[width - 1 : width - 1 + m]
@@ -124,212 +202,281 @@ def min_hashes(offsets: np.ndarray, hashes: np.ndarray, seeds: np.ndarray) -> np
     return out
 
 
-def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` between consecutive offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64) * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def fingerprints(df: DataFrame, key: str, text: str, *, width: int, min_words: int, as_printed: bool) -> DataFrame:
-    """(key, fp, cls, sh): fingerprint, class of equal sets, and sorted shingle hashes of each long enough text."""
+def fingerprints(df: DataFrame, key: str, text: str, *, width: int, min_words: int, as_printed: bool | Column = False, within: str | None = None) -> DataFrame:
+    """(part, key, lo, hi, cls, sh): fingerprint, class of equal sets, and sorted shingle hashes of each long enough text.
+
+    ``part`` is the value of ``within`` (null without one); ``cls`` is a 128-bit hash of the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        seeds = _seeds(BITS)
+        seeds = _seeds(LETTERS)
         for b in batches:
-            texts = b.column("t").to_pylist()
-            if as_printed:
-                texts = [t and print_form(t) for t in texts]
-            counts, offsets, sh = shingle_sets(texts, width, cache)
+            printed = b.column("printed").to_pylist()
+            texts = [print_form(t) if p else t for t, p in zip(b.column("t").to_pylist(), printed, strict=True)]
+            parts = b.column("part").to_pylist()
+            salt = {p: xxhash.xxh64_intdigest(p or "") for p in set(parts)}
+            counts, offsets, sh = shingle_sets(texts, width, cache, np.array([salt[p] for p in parts], dtype=np.uint64))
             keep = (counts >= max(min_words, width)) & (np.diff(offsets) > 0)
-            owner = np.repeat(keep, np.diff(offsets))
-            sh, sizes = sh[owner], np.diff(offsets)[keep]
+            sh, sizes = sh[np.repeat(keep, np.diff(offsets))], np.diff(offsets)[keep]
             off = np.concatenate([[0], np.cumsum(sizes)])
-            fp = np.zeros(len(sizes), dtype=np.uint64)
+            lo, hi = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
             if len(sizes):
-                bits = min_hashes(off, sh, seeds) & np.uint32(1)
-                for i in range(BITS):
-                    fp |= bits[i].astype(np.uint64) << np.uint64(i)
+                values = min_hashes(off, sh, seeds).astype(np.uint64)
+                for i in range(LETTERS):
+                    lo |= (values[i] & np.uint64(1)) << np.uint64(i)
+                    hi |= ((values[i] >> np.uint64(1)) & np.uint64(1)) << np.uint64(i)
+            sets = _binary(sh, off)
+            mask = pa.array(keep)
+            cls = pa.array([xxhash.xxh3_128_digest(x.as_buffer()) for x in sets], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").filter(pa.array(keep)), pa.array(fp.view(np.int64)), _list(sh.view(np.int32), off)],
-                names=["key", "fp", "sh"],
+                [b.column("part").filter(mask), b.column("key").filter(mask), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), cls, sets],
+                names=["part", "key", "lo", "hi", "cls", "sh"],
             )
 
-    slim = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")).where("key is not null and t is not null").distinct()
-    return slim.mapInArrow(run, "key string, fp long, sh array<int>").withColumn("cls", F.xxhash64("sh"))
+    part = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
+    printed = F.lit(as_printed) if isinstance(as_printed, bool) else as_printed
+    slim = df.select(part.alias("part"), F.col(key).cast("string").alias("key"), F.col(text).alias("t"), F.coalesce(printed, F.lit(False)).alias("printed"))
+    return spread(slim.where("key is not null and t is not null")).mapInArrow(run, "part string, key string, lo long, hi long, cls binary, sh binary")
 
 
-def frequent_in(values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of those held by more than a small share of the rows of a batch."""
-    h, n = np.unique(values, return_counts=True)
-    keep = n >= max(3, FREQUENT * rows)
-    return h[keep], n[keep]
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, hashes) of a column of binary sets."""
+    sizes = np.array([len(x) if x is not None else 0 for x in (v.as_buffer() for v in column)], dtype=np.int64) // 4
+    return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32)
 
 
-def _frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts), sorted by shingle: at most ``MOST_FREQUENT`` that many sets hold, counted by batches.
+class _Fresh:
+    """Which sets a task has not met yet, as far as it remembers: a text copied very often is sent once a task."""
 
-    They serve to put frequent shingles last in the order of prefixes. Any order is right, so a count may be low.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = frequent_in(b.column("sh").flatten().to_numpy().view(np.uint32), b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["h", "n"])
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+
+    def mask(self, classes: pa.Array) -> np.ndarray:
+        out = np.zeros(len(classes), dtype=bool)
+        for i, c in enumerate(classes.to_pylist()):
+            if c not in self.seen:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen.add(c)
+                out[i] = True
+        return out
 
-    sums = table.select("sh").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = sums.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h, n = found.column(0).to_numpy().astype(np.uint32), found.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
 
+def _fresh_sets(b: pa.RecordBatch, fresh: _Fresh) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    b = b.filter(pa.array(fresh.mask(b.column("cls"))))
+    return b, *_sets(b.column("sh"))
 
-def prefix_of(offsets: np.ndarray, hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """Whether each shingle is in the prefix of its set; the order is by count as far as counted, then by hash.
 
-    Sets of n and m shingles at Jaccard similarity t share at least t * n of them, so one of the first n - t * n + 1
-    of the one is among the first of the other, in any order that is the same for all sets.
-    """
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    known, counts = frequent
-    n = np.zeros(len(hashes), dtype=np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        n = np.where(known[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, n, owner))
-    length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    out = np.zeros(len(hashes), dtype=bool)
-    out[order] = np.arange(len(hashes)) - offsets[owner] < length[owner]
-    return out
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes.astype(np.uint64)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _prefix_rows(table: DataFrame, similarity: float) -> DataFrame:
-    """(band, fp): the shard keys of each set, the shingles of its prefix."""
-    frequent = table.sparkSession.sparkContext.broadcast(_frequent(table))
+def log_code(counts: np.ndarray, steps: int) -> np.ndarray:
+    """0 for none, else 1 + the logarithm in ``steps`` a doubling; ``least_of`` gives back the least such count."""
+    out = np.zeros(len(counts), dtype=np.uint8)
+    at = np.flatnonzero(counts)
+    out[at] = np.minimum(np.floor(steps * np.log2(counts[at]) + 1e-9), 254).astype(np.uint8) + 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = frequent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column("sh")
-            off = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint32)
-            off = off - off[0]
-            keep = prefix_of(off, values, counts, similarity)
-            fp = np.repeat(b.column("fp").to_numpy(), np.diff(off))
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(fp[keep])], names=["band", "fp"])
 
-    return table.select("fp", "sh").mapInArrow(run, "band long, fp long")
+def least_of(steps: int) -> np.ndarray:
+    return np.concatenate([[0], np.ceil(2.0 ** np.minimum(np.arange(255) / steps, 50) - 1e-6).astype(np.int64)])
 
 
-def _tree_pairs(old: list[int], new: list[int], radius: int, out_a: list[int], out_b: list[int], itself: bool) -> None:
-    tree = BKTree()
-    if not itself:
-        for fp in old:
-            tree.add(fp)
-    for fp in new:
-        for other in tree.within(fp, radius):
-            if other != fp:
-                out_a.append(min(fp, other))
-                out_b.append(max(fp, other))
-        if itself:
-            tree.add(fp)
+#: Steps of the codes that tasks send, which are compressed by the byte, and of the merged ones.
+SENT_STEPS, STEPS = 1, 8
+LEAST_SENT, LEAST = least_of(SENT_STEPS), least_of(STEPS)
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+def sketch_counts(prints: DataFrame) -> np.ndarray:
+    """For each cell of the shingle hashes, the logarithmic code of how many distinct sets hold one of them.
 
+    Each task counts for itself and sends a byte a cell, compressed; the sum is at least half the true count of any
+    shingle, and 2 or more for a shingle of two sets. Of fixed size, whatever the input.
+    """
 
-def _signed(x: list[int]) -> np.ndarray:
-    return np.array(x, dtype=np.uint64).view(np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, fresh = np.zeros(1 << CELL_BITS, dtype=np.uint32), _Fresh()
+        for b in batches:
+            _, _, sh = _fresh_sets(b, fresh)
+            at, n = np.unique(cells_of(sh), return_counts=True)
+            acc[at] += n.astype(np.uint32)
+        codes = log_code(acc, SENT_STEPS).reshape(-1, 1 << CHUNK_BITS)
+        used = np.flatnonzero(codes.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([zlib.compress(codes[i].tobytes(), 1) for i in used], type=pa.binary())], names=["chunk", "codes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, codes in zip(b.column("chunk").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                code = np.frombuffer(zlib.decompress(codes), dtype=np.uint8)
+                at = np.flatnonzero(code)
+                sums.setdefault(chunk, np.zeros(len(code), dtype=np.int64))[at] += LEAST_SENT[code[at]]
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, type=pa.int32()), pa.array([zlib.compress(log_code(sums[k], STEPS).tobytes(), 1) for k in keys], type=pa.binary())], names=["chunk", "codes"]
+        )
+
+    schema = "chunk int, codes binary"
+    merged = prints.select("cls", "sh").mapInArrow(count, schema).repartition("chunk").mapInArrow(merge, schema).toArrow()
+    out = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint8)
+    for chunk, codes in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
+        out[chunk] = np.frombuffer(zlib.decompress(codes), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def prefix_of(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(in prefix, place in the set from 0) of each shingle; the order is by count, then by hash.
 
+    Sets of n and m shingles at Jaccard similarity t share at least t * n of them, so one of the first n - t * n + 1
+    of the one is among the first of the other, in any order that is the same for all sets.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, counts, owner))
+    length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    place = np.empty(len(hashes), dtype=np.int64)
+    place[order] = np.arange(len(hashes)) - offsets[owner]
+    return place < length[owner], place
 
-def _pairs_batch(a: list[int], b: list[int], hot_a: list[int], hot_b: list[int]) -> pa.RecordBatch:
-    kind = np.array([0] * len(a) + [1] * len(hot_a), dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(_signed(a + hot_a)), pa.array(_signed(b + hot_b))], schema=_PAIRS)
 
+def can_reach(rest_a: np.ndarray, size_a: np.ndarray, rest_b: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can be similar enough if this shingle is the first they share.
 
-def _shard_pairs(radius: int, shard_rows: int):
-    """Over rows sorted by shard: pairs (kind 0) of each shard's tree; rows of too large shards come out as kind 1."""
+    ``rest`` counts the shingles from this one on; no more than the lesser rest can be shared. A pair fails only
+    in shards other than that of its first shared shingle, or if it is not similar enough. ``MANY`` passes always.
+    """
+    needed = np.ceil(similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b) - 1e-9)
+    return (np.minimum(rest_a, rest_b) >= needed) | (size_a == MANY) | (size_b == MANY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, hot = None, [], False
 
-        def close(a: list, b: list) -> None:
-            if not hot and len(held) > 1:
-                own = list(dict.fromkeys(held))
-                if len(own) > 1:
-                    _tree_pairs([], own, radius, a, b, True)
+def shard_rows_of(offsets: np.ndarray, hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, codes: np.ndarray, similarity: float, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, cell, rest): the cells in which each set has to appear, and its shingles from that one on.
 
-        for batch in batches:
-            band, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("band", "fp"))
-            if not len(band):
+    A shard of at most ``shard_rows`` sets is one cell. A larger one is cut into blocks by fingerprint; each pair of
+    blocks is a cell, so the rows are split before they are shuffled. Cells have 40 bits; if two shards get one
+    number, their sets only meet in vain.
+    """
+    code = codes[cells_of(hashes)]
+    keep, place = prefix_of(offsets, hashes, code, similarity)
+    keep &= code > 1  # a shingle of one set brings no pair
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    rest = np.where(sizes[owner] >= MANY, MANY, sizes[owner] - place[keep])
+    shard, count = hashes[keep].astype(np.uint64), LEAST[code[keep]] * 2.2  # the code is at least half the count, less a step
+    blocks = np.ceil(count / shard_rows).astype(np.int64)
+    small = blocks <= 1
+    shift = np.uint64(26)
+    cells, owners, rests = [(_mix(shard[small]) >> shift) << np.uint64(2)], [owner[small]], [rest[small]]
+    own, shard, blocks, rest = owner[~small], shard[~small], blocks[~small], rest[~small]
+    block = (_mix(lo[own] + (hi[own] << np.uint64(1))) % blocks.astype(np.uint64)).astype(np.int64)
+    other = np.arange(blocks.sum()) - np.repeat(np.concatenate([[0], np.cumsum(blocks)[:-1]]), blocks) if len(blocks) else np.empty(0, dtype=np.int64)
+    own, shard, block, rest = (np.repeat(x, blocks) for x in (own, shard, block, rest))
+    a, b = np.minimum(block, other).astype(np.uint64), np.maximum(block, other).astype(np.uint64)
+    side = np.where(block == other, 0, np.where(block < other, 1, 2)).astype(np.uint64)
+    cells.append(((_mix(shard + _mix((a << np.uint64(32)) | b)) >> shift) << np.uint64(2)) | side)
+    return np.concatenate([*owners, own]), np.concatenate(cells), np.concatenate([*rests, rest])
+
+
+#: What is sent to a shard: of each set once its fingerprint, size and number of rows, then of each row cell and rest.
+SENT = {"lo": np.uint64, "hi": np.uint64, "size": np.uint16, "rows": np.uint32, "cell_hi": np.uint32, "cell_lo": np.uint8, "rest": np.uint16}
+
+
+def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int, radius: int) -> DataFrame:
+    """(lo_a, hi_a, lo_b, hi_b): different fingerprints within the radius that share a shard, a repeated pair once."""
+    spark = prints.sparkSession
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
+        for b in batches:
+            b, off, sh = _fresh_sets(b, fresh)
+            if not b.num_rows:
                 continue
-            a, b, hot_a, hot_b = [], [], [], []
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(band.view(np.int64))) + 1, [len(band)]])
-            sizes = np.diff(starts)
-            last = len(sizes) - 1
-            # a shard of one row inside the batch has no pairs; only the first and last may go on in another batch
-            for i in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == last)):
-                key, rows = int(band[starts[i]]), fp[starts[i] : starts[i + 1]].tolist()
-                if key != shard:
-                    close(a, b)
-                    shard, held, hot = key, [], False
-                if hot:
-                    hot_a += [key] * len(rows)
-                    hot_b += rows
-                    continue
-                held += rows
-                if len(held) > shard_rows:
-                    held = list(dict.fromkeys(held))
-                if len(held) > shard_rows:
-                    hot = True
-                    hot_a += [key] * len(held)
-                    hot_b += held
-                    held = []
-            yield _pairs_batch(a, b, hot_a, hot_b)
-        a, b = [], []
-        close(a, b)
-        yield _pairs_batch(a, b, [], [])
-
-    return run
-
-
-def _block_pairs(hot: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """(a, b): pairs in large shards; each pair of blocks of a shard is a group of at most a few times ``shard_rows``."""
-    sizes = hot.groupBy("band").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / shard_rows).cast("int"))
-    rows = hot.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = rows.select("band", "fp", "block", F.explode(others).alias("o")).select(
-        "band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "fp"
-    )
+            lo, hi = (b.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
+            size = np.minimum(np.diff(off), MANY)
+            owner, cell, rest = shard_rows_of(off, sh, lo, hi, codes.value, similarity, shard_rows)
+            if not len(owner):
+                continue
+            to = (_mix(cell >> np.uint64(2)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((owner, to))
+            to, cell, owner, rest = to[order], cell[order], owner[order], rest[order]
+            row_cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), [len(to)]])
+            first = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (owner[1:] != owner[:-1])]))
+            set_cuts = np.searchsorted(first, row_cuts)
+            of = owner[first]
+            by_set = {"lo": lo[of], "hi": hi[of], "size": size[of], "rows": np.diff(np.concatenate([first, [len(to)]]))}
+            by_row = {"cell_hi": cell >> np.uint64(8), "cell_lo": cell & np.uint64(255), "rest": rest}
+            sent = [_binary(v.astype(SENT[k]), set_cuts) for k, v in by_set.items()] + [_binary(v.astype(SENT[k]), row_cuts) for k, v in by_row.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(to[row_cuts[:-1]], type=pa.int32()), *sent], names=["to", *SENT])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {k: [] for k in SENT}
+        for b in batches:
+            for k in SENT:
+                held[k] += b.column(k).to_pylist()
+        got = {k: np.frombuffer(b"".join(held.pop(k)), dtype=kind) for k, kind in SENT.items()}
+        of = np.repeat(np.arange(len(got["lo"])), got["rows"])
+        cell = (got["cell_hi"].astype(np.int64) << 8) | got["cell_lo"]
+        lo, hi = got["lo"], got["hi"]
+        i, j, _ = cell_pairs(cell, lo[of], hi[of], got["rest"], got["size"][of], radius, similarity)
+        i, j = of[i], of[j]
+        swap = (lo[i] > lo[j]) | ((lo[i] == lo[j]) & (hi[i] > hi[j]))
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        order = np.lexsort((hi[b], lo[b], hi[a], lo[a]))
+        pairs = [x[order] for x in (lo[a], hi[a], lo[b], hi[b])]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in pairs])
+        yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in pairs], names=["lo_a", "hi_a", "lo_b", "hi_b"])
+
+    kinds = ", ".join(f"{k} binary" for k in SENT)
+    return prints.mapInArrow(send, f"to int, {kinds}").repartition(parts, "to").mapInArrow(meet, "lo_a long, hi_a long, lo_b long, hi_b long").distinct()
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        block, fp = t.column("block").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        a, b = [], []
-        _tree_pairs(fp[block == i].tolist(), fp[block == j].tolist(), radius, a, b, i == j)
-        return pa.table({"a": pa.array(_signed(a)), "b": pa.array(_signed(b))})
 
-    return cells.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+def _bloom_at(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return _mix(lo ^ _mix(hi)) >> np.uint64(39)
 
 
-def _bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size over the keys: rows it rejects are certainly not among them."""
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over fingerprints (lo, hi): rows it rejects are certainly not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
         for b in batches:
-            at = _mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(39)
+            at = _bloom_at(*(b.column(i).to_numpy().view(np.uint64) for i in (0, 1)))
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int32))], names=["at", "bits"])
 
     out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in keys.select(column).mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+    for r in keys.select("lo", "hi").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
         out[r.column(0).to_numpy()] = r.column(1).to_numpy()
     return out
 
 
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(cls_a, cls_b, similarity) of pairs (cls_a, n_a, sh_a, cls_b, n_b, sh_b) at this similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (off_a, a), (off_b, c) = _sets(b.column("sh_a")), _sets(b.column("sh_b"))
+            row = np.arange(b.num_rows, dtype=np.uint64) << np.uint64(32)
+            both = np.sort(np.concatenate([np.repeat(row, np.diff(off_a)) | a, np.repeat(row, np.diff(off_b)) | c]))
+            again = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
+            shared = np.bincount(again.astype(np.int64), minlength=b.num_rows)
+            value = shared / np.maximum(b.column("n_a").to_numpy() + b.column("n_b").to_numpy() - shared, 1)
+            keep = pa.array(value >= similarity)
+            yield pa.RecordBatch.from_arrays([*(b.column(x).filter(keep) for x in ("cls_a", "cls_b")), pa.array(value).filter(keep)], names=["cls_a", "cls_b", "similarity"])
+
+    return pairs.select("cls_a", "n_a", "sh_a", "cls_b", "n_b", "sh_b").mapInArrow(run, "cls_a binary, cls_b binary, similarity double")
+
+
 def near_duplicates(
     df: DataFrame,
     key: str,
@@ -339,64 +486,66 @@ def near_duplicates(
     width: int = 3,
     min_words: int = 12,
     shard_rows: int = 2000,
-    as_printed: bool = False,
+    as_printed: bool | Column = False,
+    within: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (cls_a, cls_b, similarity) between classes of equal sets, members (cls, key).
+    """(links, members): links (cls_a, cls_b, similarity) between classes of equal sets, members (part, cls, key).
 
     Texts shorter than ``min_words`` words, null texts and rows with a null key take no part; rows repeated with key
-    and text count once; texts with equal sets are one class and are never paired with each other. Similarity is the
-    exact Jaccard similarity of the sets of 32-bit shingle hashes. Empty tables give empty results; other columns are
-    not read. Every pair of at least this similarity meets in a shard; ``radius_for`` tells which the tree keeps.
+    and text count once; texts with equal sets are one class and are never paired with each other. With ``within``
+    only records of an equal value of that column (``part``) are compared. Similarity is the exact Jaccard similarity
+    of the sets of 32-bit shingle hashes. Empty tables give empty results; other columns are not read. Every pair of
+    at least this similarity meets in a shard, and the radius misses one at exactly it once in a million.
     """
     radius = radius_for(similarity)
-    prints = cut_lineage(fingerprints(df, key, text, width=width, min_words=min_words, as_printed=as_printed))
-    shards = _prefix_rows(prints, similarity)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_shards = shards.repartition(n, "band").sortWithinPartitions("band")
-    first = cut_lineage(sorted_shards.mapInArrow(_shard_pairs(radius, shard_rows), "kind int, a long, b long").distinct())
-    hot = first.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("fp"))
-    near = first.where("kind = 0").select("a", "b").unionByName(_block_pairs(hot, radius, shard_rows)).distinct()
-    twins = prints.groupBy("fp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    near = near.unionByName(twins)
-    spark = df.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bloom(near.select(F.explode(F.array("a", "b")).alias("fp")), "fp"))
+    prints = write_shared(fingerprints(df, key, text, width=width, min_words=min_words, as_printed=as_printed, within=within))
+    bare = spread(prints.select("lo", "hi", "cls", "sh"))
+    codes = df.sparkSession.sparkContext.broadcast(sketch_counts(bare))
+    near = candidate_pairs(bare, codes, similarity, shard_rows, radius)
+    # different sets with one fingerprint: rare, and as close as a pair can be
+    twins = prints.groupBy("lo", "hi").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last")
+    near = write_shared(near.unionByName(twins.select(F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))))
+    ends = near.select(F.explode(F.array(F.struct(F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")), F.struct(F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi")))).alias("e"))
+    bitmap = df.sparkSession.sparkContext.broadcast(_bloom(ends.select("e.lo", "e.hi")))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        """Sets that may be in a pair, once, without the shingles that no other set holds; ``n`` counts these too."""
+        bits, fresh = bitmap.value, _Fresh()
         for b in batches:
-            at = _mix(b.column("fp").to_numpy().view(np.uint64)) >> np.uint64(39)
-            on = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            yield b.filter(pa.array(on.astype(bool)))
+            at = _bloom_at(*(b.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi")))
+            on = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            b, off, sh = _fresh_sets(b.filter(pa.array(on)), fresh)
+            kept = codes.value[cells_of(sh)] > 1
+            cut = np.concatenate([[0], np.cumsum(kept)])[off]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("lo", "hi", "cls")), pa.array(np.diff(off), type=pa.int32()), _binary(sh[kept], cut)], names=["lo", "hi", "cls", "n", "sh"])
 
     sets = (
-        prints.select("fp", "cls", "sh").mapInArrow(maybe, "fp long, cls long, sh array<int>")
-        .groupBy("fp", "cls").agg(F.any_value("sh").alias("sh"))
-    )
-    a = sets.toDF("a", "cls_a", "sh_a")
-    b = sets.toDF("b", "cls_b", "sh_b")
-    shared = F.size(F.array_intersect("sh_a", "sh_b"))
-    value = shared / (F.size("sh_a") + F.size("sh_b") - shared)
-    links = (
-        near.join(a, "a").join(b, "b").where("cls_a <> cls_b")
-        .select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b"), value.alias("similarity"))
-        .where(F.col("similarity") >= similarity)
-        .distinct()
+        bare.mapInArrow(maybe, "lo long, hi long, cls binary, n int, sh binary")
+        .repartition("lo", "hi").groupBy("lo", "hi", "cls").agg(F.any_value("n").alias("n"), F.any_value("sh").alias("sh"))
     )
-    return links, prints.select("cls", "key").distinct()
+    a = sets.toDF("lo_a", "hi_a", "cls_a", "n_a", "sh_a")
+    b = sets.toDF("lo_b", "hi_b", "cls_b", "n_b", "sh_b")
+    same = (F.col("lo_a") == F.col("lo_b")) & (F.col("hi_a") == F.col("hi_b"))
+    pairs = near.join(a, ["lo_a", "hi_a"]).join(b, ["lo_b", "hi_b"]).where((same & (F.col("cls_a") < F.col("cls_b"))) | (~same & (F.col("cls_a") != F.col("cls_b"))))
+    first = F.col("cls_a") < F.col("cls_b")
+    links = _verified(pairs, similarity).select(
+        F.when(first, F.col("cls_a")).otherwise(F.col("cls_b")).alias("cls_a"), F.when(first, F.col("cls_b")).otherwise(F.col("cls_a")).alias("cls_b"), "similarity"
+    )
+    return links, prints.select("part", "cls", "key").repartition("cls").distinct()
 
 
 def key_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(key_a, key_b): links and classes spelled out as pairs of different keys."""
+    """(part, key_a, key_b): links and classes spelled out as pairs of different keys."""
     many = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    copies = members.join(many, "cls", "left_semi")
-    same = copies.toDF("cls", "x").join(copies.toDF("cls", "y"), "cls").where("x < y").select("x", "y")
-    linked = links.join(members.toDF("cls_a", "x"), "cls_a").join(members.toDF("cls_b", "y"), "cls_b").where("x <> y").select("x", "y")
-    ordered: list[Column] = [F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")]
-    return same.unionByName(linked).select(*ordered).distinct()
+    copies = members.join(many, "cls", "left_semi").select("part", "cls", "key")
+    same = copies.toDF("part", "cls", "x").join(copies.drop("part").toDF("cls", "y"), "cls").where("x < y").select("part", "x", "y")
+    ends = members.drop("part")
+    linked = links.join(members.toDF("part", "cls_a", "x"), "cls_a").join(ends.toDF("cls_b", "y"), "cls_b").where("x <> y").select("part", "x", "y")
+    return same.unionByName(linked).select("part", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, cls, copies, links): one row a record: its class, the class's size and the linked classes."""
+    """(part, key, cls, copies, links): one row a record: its class, the class's size and the linked classes."""
     ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    return members.join(sizes, "cls").join(ends, "cls", "left").select("key", "cls", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(sizes, "cls").join(ends, "cls", "left").select("part", "key", F.hex("cls").alias("cls"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

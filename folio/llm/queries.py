@@ -68,20 +68,21 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest_run").alias("longest_run"))
 
 
-def _versions(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
-    if name == "nap_voices":
-        return neardup.near_duplicates(table(spark, d, name), "id", "displayText", as_printed=True)
-    return neardup.near_duplicates(table(spark, d, name), "piece_key", "body")
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables in one run; records of different tables are never compared."""
+    kept = (("nap_voices", "id", "displayText", True), ("tarbell", "piece_key", "body", False))
+    rows = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(k).alias("key"), F.col(x).alias("text"), F.lit(p).alias("printed")) for t, k, x, p in kept]
+    return neardup.near_duplicates(_union(rows), "key", "text", as_printed=F.col("printed"), within="tbl")
 
 
 @LLM.add("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _union([_tagged(t, neardup.key_pairs(*_versions(spark, d, t))) for t in ("nap_voices", "tarbell")])
+    return neardup.key_pairs(*_versions(spark, d)).withColumnRenamed("part", "tbl")
 
 
 @LLM.add("p3_links")
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
-    return _union([_tagged(t, neardup.link_counts(*_versions(spark, d, t))) for t in ("nap_voices", "tarbell")])
+    return neardup.link_counts(*_versions(spark, d)).withColumnRenamed("part", "tbl")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
