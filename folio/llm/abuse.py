@@ -16,13 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.chars import print_form
+from folio.session import cut_lineage
 
 #: Labelled documents used for fitting, at most; the sample is the first of a fixed hash order.
 MAX_LABELS = 5000
+#: Characters of labelled documents used for fitting, at most.
+MAX_LABEL_CHARS = 40_000_000
+#: An odd word may be restored to any word of this share of all words; so there are 1 / share of them at most.
+FREQUENT_SHARE = 2e-5
 
 # Words that are abusive or explicit whatever stands around them, English then French.
 STRONG = """
@@ -184,8 +189,9 @@ class CharModel:
 class Restorer:
     """Restores disguised words of a text; decisions per distinct span are kept."""
 
-    def __init__(self, model: CharModel) -> None:
+    def __init__(self, model: CharModel, frequent: frozenset[str] = frozenset()) -> None:
         self.model = model
+        self.meant = LISTED | frequent
         self.spans: dict[str, str] = {}
         self.fine: dict[str, bool] = {}
 
@@ -194,7 +200,7 @@ class Restorer:
         if got is None:
             if len(self.spans) > 200_000:
                 self.spans.clear()
-            got = self.spans[text] = text if _ORDINAL.fullmatch(text) or len(text) > 60 else self.model.decode(text)
+            got = self.spans[text] = text if _ORDINAL.fullmatch(text) else self.model.decode(text)
         return got
 
     def _dotted(self, m: re.Match) -> str:
@@ -205,7 +211,7 @@ class Restorer:
         if got is None:
             if len(self.fine) > 500_000:
                 self.fine.clear()
-            got = self.fine[word] = 3 < len(word) < 30 and self.model.odd(word)
+            got = self.fine[word] = len(word) > 3 and self.model.odd(word)
         return got
 
     def restore(self, text: str) -> tuple[str, set[str]]:
@@ -220,7 +226,7 @@ class Restorer:
         found = set(_PLAIN_WORD.findall(text.lower()))
         odd = [w for w in found if self.odd_word(w)]
         if odd:
-            swap = {w: r for w in odd if (r := self.span(w)) != w and r in LISTED and self.model.score(r) > self.model.score(w)}
+            swap = {w: r for w in odd if (r := self.span(w)) != w and r in self.meant and self.model.score(r) > self.model.score(w)}
             if swap:
                 text = _WORD.sub(lambda m: swap.get(m[0].lower(), m[0]), text)
                 found = (found - swap.keys()) | set(swap.values())
@@ -264,8 +270,8 @@ def prior() -> dict[str, float]:
 def fit(labelled: list[tuple[list[str], int]], common: set[str], rounds: int = 8, ridge: float = 0.25) -> tuple[dict[str, float], set[str]]:
     """(weights, triggers) from (restored sentences, label) of documents; without labels the lexicon alone.
 
-    A sentence that holds no trigger scores below every threshold; triggers are the lexicon and the words much more
-    frequent in documents labelled abusive than in others.
+    Triggers are the lexicon and the words much more frequent in documents labelled abusive than in others. Weights are
+    learned from sentences with a trigger and hold for them; any other sentence scores the bias, the model's prior.
     """
     base = prior()
     docs = [([tokens(s, common) for s in ss], y) for ss, y in labelled]
@@ -334,18 +340,35 @@ def score_sentence(tok: list[str], weights: dict[str, float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def char_trigrams(docs: DataFrame, text: str) -> dict[str, int]:
-    """Character trigram counts of the words of all documents; the alphabet bounds the result (about 50 letters)."""
-    word = F.explode(F.split(F.lower(F.col(text)), "[^a-zà-öø-ÿœ]+"))
-    counted = docs.select(word.alias("w")).where("w <> '' and length(w) < 40").groupBy("w").count()
+def corpus_words(docs: DataFrame, text: str) -> DataFrame:
+    """(w, n): the words of all documents and their counts; each task counts for itself before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for b in batches:
-            for w, n in zip(b["w"], b["count"], strict=True):
+            for t in b[text]:
+                if t:
+                    c.update(_PLAIN_WORD.findall(t.lower()))
+            if len(c) > 300_000:
+                yield pd.DataFrame({"w": list(c.keys()), "n": np.array(list(c.values()), dtype="int64")})
+                c = Counter()
+        if c:
+            yield pd.DataFrame({"w": list(c.keys()), "n": np.array(list(c.values()), dtype="int64")})
+
+    return docs.select(text).mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def char_trigrams(counted: DataFrame) -> dict[str, int]:
+    """Character trigram counts of counted words; the alphabet bounds the result (about 50 letters)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for b in batches:
+            for w, n in zip(b["w"], b["n"], strict=True):
                 for g in CharModel.grams(w):
                     c[g] += int(n)
-        yield pd.DataFrame({"g": list(c.keys()), "n": np.array(list(c.values()), dtype="int64")})
+        if c:
+            yield pd.DataFrame({"g": list(c.keys()), "n": np.array(list(c.values()), dtype="int64")})
 
     return {r["g"]: r["n"] for r in counted.mapInPandas(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
@@ -359,35 +382,45 @@ def score_documents(
     label: str = "toxic",
     keep: tuple[str, ...] = (),
     max_labels: int = MAX_LABELS,
+    max_chars: int = MAX_LABEL_CHARS,
 ) -> DataFrame:
     """(doc_id, *keep, score, passages, worst): the score of each document's worst sentence, and that sentence.
 
-    ``passages`` counts sentences scoring ``PASSAGE`` or more. Null and empty texts score 0. Every row of the table gives a
+    ``passages`` counts sentences scoring ``PASSAGE`` or more. ``worst`` is null where no sentence holds a trigger; such
+    a document scores what the bias gives. Null and empty texts score 0. Every row of the table gives a
     row, repeated ones too. ``labels`` may be empty (the lexicon alone scores then); of several labels of a document
-    the majority counts, ties as abusive. At most ``max_labels`` labelled documents are used for fitting. The
+    the majority counts, ties as abusive. At most ``max_labels`` labelled documents, and ``max_chars`` of
+    their characters, are used for fitting. The
     columns ``doc_id``, ``text`` and ``keep`` of the documents are read; clashing names in ``labels`` do not matter.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
-    model = CharModel(char_trigrams(slim, "text"))
+    counted = cut_lineage(corpus_words(slim, "text"))
+    model = CharModel(char_trigrams(counted))
+    all_words = counted.agg(F.sum("n")).collect()[0][0] or 0
+    frequent = frozenset(r["w"] for r in counted.where(F.col("n") >= max(FREQUENT_SHARE * all_words, 2)).select("w").collect())
     votes = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     sample = votes.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    known = slim.select("doc_id", "text").where("text <> ''").join(sample, "doc_id").dropDuplicates(["doc_id"]).select("text", "y").collect()
-    restorer = Restorer(model)
+    known = slim.select("doc_id", "text").where("text <> ''").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    up_to = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the bounded sample
+    known = known.withColumn("chars", F.sum(F.length("text")).over(up_to)).where(F.col("chars") <= max_chars).select("text", "y").collect()
+    restorer = Restorer(model, frequent)
     sample_texts = [sentences(restorer.restore(r["text"])[0]) for r in known]
     common = common_words(sample_texts)
     weights, triggers = fit([(t, r["y"]) for t, r in zip(sample_texts, known, strict=True)], common)
-    shared = spark.sparkContext.broadcast((model, weights, triggers, common))
+    shared = spark.sparkContext.broadcast((model, frequent, weights, triggers, common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, weights, triggers, common = shared.value
-        restorer = Restorer(model)
+        model, frequent, weights, triggers, common = shared.value
+        restorer = Restorer(model, frequent)
+        floor = score_sentence([], weights)
         plain = {p for w in triggers for p in w.split("-")}
         for b in batches:
             best, count, worst = np.zeros(len(b)), np.zeros(len(b), dtype="int64"), [None] * len(b)
             for i, t in enumerate(b["text"]):
                 if not t:
                     continue
+                best[i] = floor
                 restored, found = restorer.restore(t)
                 if found.isdisjoint(plain):
                     continue

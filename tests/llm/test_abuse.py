@@ -42,3 +42,14 @@ def test_documents(spark):
     assert sorted((r.doc_id, r.passages) for r in rows) == [(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)]
     assert {r.source: r.rate for r in abuse.rates(abuse.score_documents(docs, labels, keep=("source",)), "source").collect()} == {"a": 0.666667, "b": 0.0}
     assert abuse.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_an_odd_word_is_restored_to_a_frequent_one(model):
+    assert "bridge" in abuse.Restorer(model, frozenset({"bridge"})).restore("They hold the br1dge now.")[0]
+    long = "q" * 70 + "1" + "q" * 70
+    assert abuse.Restorer(model).restore(f"All is {long} here.")[0].endswith("here.")
+
+
+def test_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([("The river, the bridge.",), (None,), ("",), ("a" * 50 + " the",)], "text string")
+    assert {r.w: r.n for r in abuse.corpus_words(docs, "text").collect()} == {"the": 3, "river": 1, "bridge": 1, "a" * 50: 1}
