@@ -27,7 +27,7 @@ MAX_LABELS = 5000
 #: Characters of labelled documents used for fitting, at most.
 MAX_LABEL_CHARS = 40_000_000
 #: An odd word may be restored to any word of this share of all words; so there are 1 / share of them at most.
-FREQUENT_SHARE = 2e-5
+FREQUENT_SHARE = 5e-6
 
 # Words that are abusive or explicit whatever stands around them, English then French.
 STRONG = """
@@ -191,7 +191,7 @@ class Restorer:
 
     def __init__(self, model: CharModel, frequent: frozenset[str] = frozenset()) -> None:
         self.model = model
-        self.meant = LISTED | frequent
+        self.frequent, self.meant = frequent, LISTED | frequent
         self.spans: dict[str, str] = {}
         self.fine: dict[str, bool] = {}
 
@@ -207,11 +207,12 @@ class Restorer:
         return re.sub(r"[._*·]", " ", m[0])
 
     def odd_word(self, word: str) -> bool:
+        """Whether a word may be a disguise; a frequent one is what it is, however improbable its letters."""
         got = self.fine.get(word)
         if got is None:
             if len(self.fine) > 500_000:
                 self.fine.clear()
-            got = self.fine[word] = len(word) > 3 and self.model.odd(word)
+            got = self.fine[word] = len(word) > 3 and word not in self.frequent and self.model.odd(word)
         return got
 
     def restore(self, text: str) -> tuple[str, set[str]]:
