@@ -20,17 +20,35 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def nearest_date(probes: DataFrame, probe: str, dated: DataFrame, date: str) -> DataFrame:
-    """``probes`` with ``nearest``: the closest of the distinct dates, the earlier of two equally close.
+    """``probes`` with ``nearest``: the closest of the distinct dates, the earlier of two equally close; null without any.
 
-    The distinct dates are bounded by the calendar (some 36,500 a century), so they travel as one sorted array; each
-    probe finds its two neighbours in it.
+    Probes and dates are put in one order of days; the last date before and the first after come from windows over
+    a year at a time. A year without a date before (or after) takes the last of the years before (the first after),
+    of which there are as many as years in the calendar.
     """
-    days = dated.select(F.col(date).alias("d")).where("d is not null").distinct().agg(F.sort_array(F.collect_list("d")).alias("days"))
-    joined = probes.withColumn("days", days.scalar())
-    before = F.array_max(F.filter("days", lambda x: x <= F.col(probe)))
-    after = F.array_min(F.filter("days", lambda x: x >= F.col(probe)))
-    closer = F.datediff(after, F.col(probe)) < F.datediff(F.col(probe), before)
-    return joined.withColumn("nearest", F.when(before.isNull() | F.coalesce(closer, F.lit(False)), after).otherwise(before)).drop("days")
+    days = dated.select(F.col(date).alias("__d")).where("__d is not null").distinct().withColumn("__y", F.year("__d"))
+    years = days.groupBy("__y").agg(F.min("__d").alias("first"), F.max("__d").alias("last"))
+    asked = probes.select(F.col(probe).alias("__d")).where("__d is not null").distinct().withColumn("__y", F.year("__d"))
+    all_years = years.unionByName(asked.select("__y").distinct(), allowMissingColumns=True).groupBy("__y").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    order = Window.orderBy("__y")
+    ends = all_years.select(
+        "__y",
+        F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__past"),
+        F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__coming"),
+    )
+    both = asked.withColumn("__hit", F.lit(None).cast("date")).unionByName(days.withColumn("__hit", F.col("__d")))
+    merged = both.groupBy("__y", "__d").agg(F.max("__hit").alias("__hit"))
+    in_year = Window.partitionBy("__y").orderBy("__d")
+    around = merged.select(
+        "__y", "__d",
+        F.last("__hit", ignorenulls=True).over(in_year.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__b"),
+        F.first("__hit", ignorenulls=True).over(in_year.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("__a"),
+    )
+    known = around.join(ends, "__y")
+    before, after = F.coalesce("__b", "__past"), F.coalesce("__a", "__coming")
+    closer = F.datediff(after, F.col("__d")) < F.datediff(F.col("__d"), before)
+    best = known.select(F.col("__d").alias(probe), F.when(before.isNull() | F.coalesce(closer, F.lit(False)), after).otherwise(before).alias("nearest"))
+    return probes.join(best, probe, "left").select(*probes.columns, "nearest")
 
 
 def band_pairs(a: DataFrame, b: DataFrame, date: str, days: int) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_delivery(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row a key: the least by ``order``. Partial aggregation keeps one candidate a task, so hot keys are cheap."""
-    row = F.struct(*[F.col(c) for c in df.columns])
+def first_delivery(df: DataFrame, key: str, *order: Column, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the least by ``order``. Partial aggregation keeps one candidate a task, so hot keys are cheap.
+
+    With ``columns`` only the key and these are kept, so that the scan reads them and the order alone.
+    """
+    row = F.struct(*[F.col(c) for c in (dict.fromkeys((key, *columns)) if columns else df.columns)])
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 

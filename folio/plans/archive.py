@@ -22,8 +22,9 @@ KNOWN_LABELS = ("MORNING", "AFTERNOON", "EVENING", "TIME UNCERTAIN")
 QUERY_WORDS = ("brigade", "palace")
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    return first_delivery(table(spark, d, "nap_voices"), "id", F.col("loaded_at"), F.col("sourceTitle"), F.col("displayText"))
+def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row an id, its first delivery; with ``columns``, only these beside the id are carried along."""
+    return first_delivery(table(spark, d, "nap_voices"), "id", F.col("loaded_at"), F.col("sourceTitle"), F.col("displayText"), columns=columns)
 
 
 def blank(c: str):
@@ -41,7 +42,7 @@ def blank(c: str):
 def publish_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Admission, era partition and the manifest's pre-aggregates with an order-free fingerprint of each partition."""
     ok, _ = admit(
-        records(spark, d),
+        records(spark, d, "editorialStatus", "displayText", "date"),
         {"status": F.col("editorialStatus") != "verified", "blank": blank("displayText"), "date": ~F.coalesce(F.col("date"), F.lit("")).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")},
     )
     mark = F.conv(F.substring(F.md5(F.concat("id", "displayText")), 1, 11), 16, 10).cast("bigint")
@@ -62,19 +63,19 @@ def publish_manifest(spark: SparkSession, d: str) -> DataFrame:
 )
 def timeline_day(spark: SparkSession, d: str) -> DataFrame:
     """The records of the busiest day in the order of its feed."""
-    rec = records(spark, d)
+    rec = records(spark, d, "date", "timeLabel")
     busiest = rec.groupBy("date").count().orderBy(F.desc("count"), "date").limit(1).select("date")
     return rec.join(F.broadcast(busiest), "date").select("id", "date", "timeLabel", time_rank(F.col("timeLabel")).alias("rank")).orderBy("rank", "id")
 
 
 @CORE.add("date_count", f"with {REC} select date, count(*) as records from rec group by date")
 def date_count(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("date").agg(F.count("*").alias("records"))
+    return records(spark, d, "date").groupBy("date").agg(F.count("*").alias("records"))
 
 
 @CORE.add("year_count", f"with {REC} select substr(date, 1, 4) as year, count(*) as records, count(distinct date) as days from rec group by 1")
 def year_count(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy(F.substring("date", 1, 4).alias("year")).agg(F.count("*").alias("records"), F.count_distinct("date").alias("days"))
+    return records(spark, d, "date").groupBy(F.substring("date", 1, 4).alias("year")).agg(F.count("*").alias("records"), F.count_distinct("date").alias("days"))
 
 
 @CORE.add("month_count", "select strftime(o_orderdate, '%Y-%m') as month, count(*) as orders, round(sum(o_totalprice), 2) as total from orders group by 1")
@@ -88,7 +89,7 @@ def month_count(spark: SparkSession, d: str) -> DataFrame:
         select substr(date, 1, 7) as month, arg_min(date, (-c, date)) as day, max(c) as records from n group by 1""",
 )
 def best_day_per_month(spark: SparkSession, d: str) -> DataFrame:
-    days = records(spark, d).groupBy("date").agg(F.count("*").alias("c"))
+    days = records(spark, d, "date").groupBy("date").agg(F.count("*").alias("c"))
     best = F.min_by("date", F.struct(-F.col("c"), F.col("date")))
     return days.groupBy(F.substring("date", 1, 7).alias("month")).agg(best.alias("day"), F.max("c").alias("records"))
 
@@ -101,7 +102,7 @@ def best_day_per_month(spark: SparkSession, d: str) -> DataFrame:
 )
 def calendar_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Days of the calendar without a record, per year; the calendar bounds the generated rows."""
-    days = records(spark, d).select(safe_date(F.col("date")).alias("day")).distinct()
+    days = records(spark, d, "date").select(safe_date(F.col("date")).alias("day")).distinct()
     calendar = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return calendar.join(days, "day", "left_anti").groupBy(F.date_format("day", "yyyy").alias("year")).agg(F.count("*").alias("empty_days"))
 
@@ -113,7 +114,7 @@ def calendar_gaps(spark: SparkSession, d: str) -> DataFrame:
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     day = safe_date(F.col("date"))
-    return records(spark, d).agg(
+    return records(spark, d, "date", "author").agg(
         F.count("*").alias("records"), F.count_distinct("date").alias("days"), F.count_distinct("author").alias("authors"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), (F.datediff(F.max(day), F.min(day)) + 1).cast("bigint").alias("calendar_days"),
     )
@@ -127,13 +128,13 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
 )
 def nearest_documented_date(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "nap_events").select("id", safe_date(F.col("date")).alias("day")).where("day is not null").distinct()
-    dated = records(spark, d).select(safe_date(F.col("date")).alias("day"))
+    dated = records(spark, d, "date").select(safe_date(F.col("date")).alias("day"))
     return nearest_date(events, "day", dated, "day").select("id", F.col("day").cast("string"), F.col("nearest").cast("string"))
 
 
 @CORE.add("era_counts", f"with {REC} select {ERA_SQL} as era, count(*) as records from rec group by 1")
 def era_counts(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy(era_of(F.col("date")).alias("era")).agg(F.count("*").alias("records"))
+    return records(spark, d, "date").groupBy(era_of(F.col("date")).alias("era")).agg(F.count("*").alias("records"))
 
 
 @CORE.add(
@@ -142,7 +143,7 @@ def era_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def era_join(spark: SparkSession, d: str) -> DataFrame:
     """The era as an equi-join with the years of each era instead of a range condition."""
-    rec = records(spark, d).select("faction", F.substring("date", 1, 4).cast("int").alias("year"))
+    rec = records(spark, d, "faction", "date").select("faction", F.substring("date", 1, 4).cast("int").alias("year"))
     return rec.join(F.broadcast(era_table(spark)), "year").groupBy("era", "faction").agg(F.count("*").alias("records"))
 
 
@@ -152,7 +153,7 @@ def era_join(spark: SparkSession, d: str) -> DataFrame:
         count(distinct substr(date, 1, 4)) as years, min(date) as first_date, max(date) as last_date from rec group by author""",
 )
 def author_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("author").agg(
+    return records(spark, d, "author", "handle", "faction", "date").groupBy("author").agg(
         F.count("*").alias("records"), F.min("handle").alias("handle"), F.array_join(F.sort_array(F.collect_set("faction")), " → ").alias("factions"),
         F.count_distinct(F.substring("date", 1, 4)).alias("years"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
@@ -176,7 +177,7 @@ def _person_sql() -> str:
 )
 def people_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Records per addressee under the most frequent label, the lesser of equals."""
-    rec = records(spark, d).select(person_key(F.col("sourceTitle")).alias("key"), addressee(F.col("sourceTitle")).alias("raw")).where("key is not null")
+    rec = records(spark, d, "sourceTitle").select(person_key(F.col("sourceTitle")).alias("key"), addressee(F.col("sourceTitle")).alias("raw")).where("key is not null")
     labels = rec.groupBy("key", "raw").agg(F.count("*").alias("c"))
     label = F.min_by("raw", F.struct(-F.col("c"), F.col("raw")))
     return labels.groupBy("key").agg(F.sum("c").alias("records"), label.alias("label"), F.count("*").alias("spellings"))
@@ -192,7 +193,7 @@ PLACE_SQL = "regexp_replace(trim(location), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
         select place, count(*) as records, max(date) as last_date, round(4 + 2.2 * sqrt(count(*)), 4) as radius from b group by place""",
 )
 def place_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rec = records(spark, d).select("date", clean_place(F.col("location")).alias("place")).where("place is not null")
+    rec = records(spark, d, "date", "location").select("date", clean_place(F.col("location")).alias("place")).where("place is not null")
     return rec.groupBy("place").agg(F.count("*").alias("records"), F.max("date").alias("last_date"), F.round(4 + 2.2 * F.sqrt(F.count("*")), 4).alias("radius"))
 
 
@@ -219,20 +220,20 @@ def search(df: DataFrame, query: str) -> DataFrame:
 
 @CORE.add("search_all", f"with {REC} select id, date from rec where {MATCH_SQL}")
 def search_all(spark: SparkSession, d: str) -> DataFrame:
-    return search(records(spark, d), " ".join(QUERY_WORDS)).select("id", "date")
+    return search(records(spark, d, "date", *HAY), " ".join(QUERY_WORDS)).select("id", "date")
 
 
 @CORE.add("search_top60", f"with {REC}, m as (select id, date from rec where {MATCH_SQL}) select id, date, (select count(*) from m) as found from m order by date, id limit 60")
 def search_top60(spark: SparkSession, d: str) -> DataFrame:
     """The report of the first 60 hits with the number of all; the limit is the feature."""
-    hits = search(records(spark, d), " ".join(QUERY_WORDS)).select("id", "date")
+    hits = search(records(spark, d, "date", *HAY), " ".join(QUERY_WORDS)).select("id", "date")
     return hits.select("id", "date", hits.agg(F.count("*")).scalar().alias("found")).orderBy("date", "id").limit(60)
 
 
 @CORE.add("saved_semi", f"with {REC} select id, date from rec where id in (select distinct id from nap_voices where timeLabel = 'EVENING')")
 def saved_semi(spark: SparkSession, d: str) -> DataFrame:
     saved = table(spark, d, "nap_voices").where("timeLabel = 'EVENING'").select("id").distinct()
-    return records(spark, d).join(saved, "id", "left_semi").select("id", "date")
+    return records(spark, d, "date").join(saved, "id", "left_semi").select("id", "date")
 
 
 @CORE.add(
@@ -242,7 +243,7 @@ def saved_semi(spark: SparkSession, d: str) -> DataFrame:
 )
 def profile_latest(spark: SparkSession, d: str) -> DataFrame:
     """The first five records of each author; the rank limit is pushed below the shuffle."""
-    rec = records(spark, d).select("author", "id", "date")
+    rec = records(spark, d, "author", "date").select("author", "id", "date")
     n = F.row_number().over(Window.partitionBy("author").orderBy("date", "id"))
     return rec.withColumn("n", n).where("n <= 5")
 
@@ -259,5 +260,5 @@ def hour_labels(spark: SparkSession, d: str) -> DataFrame:
 )
 def manifest_json(spark: SparkSession, d: str) -> DataFrame:
     """The manifest's scalars; ``folio.sources.sinks.write_manifest`` writes them as one object."""
-    one = records(spark, d).agg(F.count("*").alias("records"), F.count_distinct("date").alias("days"), F.min("date").alias("from"), F.max("date").alias("to"))
+    one = records(spark, d, "date").agg(F.count("*").alias("records"), F.count_distinct("date").alias("days"), F.min("date").alias("from"), F.max("date").alias("to"))
     return one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("key", "value"))

@@ -1,3 +1,3 @@
 """Imports every module of core queries, which fills the registry."""
 
-from folio.plans import archive, drafting, matching, quality, references, streams, texts  # noqa: F401
+from folio.plans import archive, cards, drafting, matching, parsing, quality, references, rules, streams, texts  # noqa: F401

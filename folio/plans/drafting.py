@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
 from folio.functions import score
 from folio.functions import text as T
@@ -101,7 +101,7 @@ def document_parts(spark: SparkSession, d: str) -> DataFrame:
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """The numbered articles of orders as rows: headings are marked, the text is split at the marks."""
     marked = F.regexp_replace("text", r"(^|\n)Article ([0-9]+)\. ", "␟$2␞")
-    rows = table(spark, d, "documents").where(F.col("text").contains("Article ")).select("doc_id", F.explode(F.slice(F.split(marked, "␟"), 2, 1_000_000)).alias("x"))
+    rows = table(spark, d, "documents").where(F.col("text").contains("Article ")).select("doc_id", F.posexplode(F.split(marked, "␟")).alias("n", "x")).where("n > 0")
     halves = F.split("x", "␞")
     return rows.select("doc_id", halves[0].cast("int").alias("article"), F.trim(halves[1]).alias("body"))
 
@@ -188,26 +188,11 @@ def months_guessed(spark: SparkSession, d: str) -> DataFrame:
 LEADS = (r"^[\s“\"'.,;:–—-]+", r"^\[[^\]]{1,40}\]", r"^\([^)]{1,40}\)", r"^(?:No|Nr)\.? ?\d+[.:]?", r"^[A-Z]{2,}[A-Z ]*[:.]", r"^(?:Sir|Sire|Monsieur|Madame|Citizen)s?,")
 
 
-@pandas_udf(StringType())
-def _strip_leads(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import re
-
-    patterns = [re.compile(p) for p in LEADS]
-
-    def strip(x: str | None) -> str | None:
-        for _ in range(6 if x else 0):
-            before = x
-            for p in patterns:
-                x = p.sub("", x, count=1)
-            if x == before:
-                break
-        return x
-
-    for s in batches:
-        yield s.map(strip, na_action="ignore")
+#: Any number of them, one after another: what passes of single rewrites come to.
+LEAD = "^(?:" + "|".join(p.removeprefix("^") for p in LEADS) + ")+"
 
 
-@CORE.add("leads_stripped")
+@CORE.add("leads_stripped", f"with {TEXT} select id, regexp_replace(x, '{LEAD.replace(chr(39), chr(39) * 2)}', '') as text from t where x is not null")
 def leads_stripped(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without what stands in front of them, taken off in passes until nothing changes."""
-    return texts(spark, d).where("x is not null").select("id", _strip_leads("x").alias("text"))
+    """Texts without what stands in front of them, taken off until nothing of it is left."""
+    return texts(spark, d).where("x is not null").select("id", F.regexp_replace("x", LEAD, "").alias("text"))

@@ -91,19 +91,21 @@ def coverage_missing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "review_labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@CORE.add("stray_labels", "select doc_id, toxic from review_labels where doc_id not in (select doc_id from documents) or doc_id is null")
-def stray_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "review_labels").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti").select("doc_id", "toxic")
+@CORE.add("stray_events", "select distinct id, label from nap_events where id not in (select unnest(eventIds) from nap_voices where eventIds is not null)")
+def stray_events(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that point to no record: events which no record names."""
+    named = table(spark, d, "nap_voices").select(F.explode("eventIds").alias("id")).where("id is not null").distinct()
+    return table(spark, d, "nap_events").select("id", "label").distinct().join(named, "id", "left_anti")
 
 
 @CORE.add(
     "upsert_labels",
-    """with a as (select doc_id, max(toxic) as toxic from review_labels group by 1), b as (select doc_id, cast(doc_id % 2 as int) as toxic from documents where doc_id % 10 = 0)
+    """with a as (select doc_id, max(toxic) as toxic from review_labels group by 1), b as (select doc_id, cast(case when n_chars > 20000 then 1 else 0 end as int) as toxic from documents)
         select coalesce(b.doc_id, a.doc_id) as doc_id, case when b.doc_id is not null then b.toxic else a.toxic end as toxic from a full join b on a.doc_id = b.doc_id""",
 )
 def upsert_labels(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "review_labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    new = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    new = table(spark, d, "documents").select("doc_id", (F.col("n_chars") > 20000).cast("int").alias("toxic"))
     return records.upsert(old, new, "doc_id")
 
 
@@ -127,13 +129,13 @@ def duplicate_bodies(spark: SparkSession, d: str) -> DataFrame:
 SAME_DAY = f"with {REC}, s as (select id, date, left(regexp_replace(lower(displayText), '[^a-z0-9]+', '', 'g'), 120) as k from rec where date is not null and displayText is not null)"
 
 
-@CORE.add("near_levenshtein", SAME_DAY + " select a.id as id_a, b.id as id_b, levenshtein(a.k, b.k) as edits from s a join s b on a.date = b.date and a.id < b.id where levenshtein(a.k, b.k) <= 60")
+@CORE.add("near_levenshtein", SAME_DAY + " select a.id as id_a, b.id as id_b, levenshtein(a.k, b.k) as edits from s a join s b on a.date = b.date and a.id < b.id where levenshtein(a.k, b.k) <= 90")
 def near_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one day whose first letters differ by few edits; the day is the block."""
     s = voices(spark, d).where("date is not null and displayText is not null").select("id", "date", F.left(letters_key(F.col("displayText")), F.lit(120)).alias("k"))
     b = s.toDF("id_b", "date", "k_b")
     pairs = s.join(b, "date").where("id < id_b")
-    return pairs.select(F.col("id").alias("id_a"), "id_b", F.levenshtein("k", "k_b", 60).alias("edits")).where("edits >= 0")
+    return pairs.select(F.col("id").alias("id_a"), "id_b", F.levenshtein("k", "k_b", 90).alias("edits")).where("edits >= 0")
 
 
 @CORE.add("prefix_containment", SAME_DAY + " select a.id from s a where length(a.k) >= 30 and not exists (select 1 from s b where b.date = a.date and b.id < a.id and length(b.k) >= 30 and (contains(b.k, a.k) or contains(a.k, b.k)))")
@@ -157,7 +159,7 @@ def ratio_same_day(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of the pairs of each day by difflib's ratio of their first 150 characters."""
     s = voices(spark, d).where("date is not null and displayText is not null").select("id", "date", F.left("displayText", F.lit(150)).alias("x"))
     pairs = s.join(s.toDF("id_b", "date", "y"), "date").where("id < id_b")
-    return pairs.select("id", "id_b", F.round(match.sequence_ratio("x", "y"), 4).alias("ratio")).where("ratio > 0.55")
+    return pairs.select("id", "id_b", F.round(match.sequence_ratio("x", "y"), 4).alias("ratio")).where("ratio > 0.3")
 
 
 @CORE.add(
@@ -178,17 +180,17 @@ WORDS_B = "list_distinct(list_filter(string_split(trim(regexp_replace({}, '[^a-z
     "token_overlap",
     f"""with {REC}, {DATED}, a as (select piece_key, iso, unnest({WORDS_B.format(FOLD_SQL.format('"to"'))}) as w from dated where iso is not null),
         b as (select id, date, unnest({WORDS_B.format(FOLD_SQL.format('sourceTitle'))}) as w from rec)
-        select piece_key, min(id) as id from a join b on a.iso = b.date and a.w = b.w group by piece_key""",
+        select piece_key, min(id) as id from a join b on left(a.iso, 7) = left(b.date, 7) and a.w = b.w group by piece_key""",
 )
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """The first record of a dispatch's day that shares a long word of the addressee: an equi-join on day and word."""
+    """The first record of a dispatch's month that shares a long word of the addressee: an equi-join on month and word."""
 
     def long_words(c):
         return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(fold(c), "[^a-z]+", " ")), " "), lambda w: F.length(w) >= 5))
 
-    a = dispatches(spark, d).where("iso is not null").select("piece_key", F.col("iso").alias("date"), F.explode(long_words(F.col("to"))).alias("w"))
-    b = voices(spark, d).select("id", "date", F.explode(long_words(F.col("sourceTitle"))).alias("w"))
-    return match.first_match(a.join(b, ["date", "w"]).select("piece_key", "id"), "piece_key", F.col("id")).select("piece_key", "id")
+    a = dispatches(spark, d).where("iso is not null").select("piece_key", F.left("iso", F.lit(7)).alias("month"), F.explode(long_words(F.col("to"))).alias("w"))
+    b = voices(spark, d, "date", "sourceTitle").select("id", F.left("date", F.lit(7)).alias("month"), F.explode(long_words(F.col("sourceTitle"))).alias("w"))
+    return match.first_match(a.join(b, ["month", "w"]).select("piece_key", "id"), "piece_key", F.col("id")).select("piece_key", "id")
 
 
 @CORE.add(
@@ -196,16 +198,16 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     f"""with {REC}, {TAR}, a as (select id, date, lower(trim(location)) as place, left(regexp_replace(lower(displayText), '[^a-z0-9]+', '', 'g'), 40) as probe from rec),
         b as (select piece_key, iso, lower(title) as title, regexp_replace(lower(body), '[^a-z0-9]+', '', 'g') as body from tar where iso is not null),
         j as (select a.id, b.piece_key, case when contains(b.title, a.place) and contains(b.body, a.probe) then 1 when contains(b.body, a.probe) then 2 when contains(b.title, a.place) then 3 end as level
-              from a join b on a.date = b.iso where a.place <> '')
+              from a join b on left(a.date, 7) = left(b.iso, 7) where a.place <> '')
         select id, arg_min(piece_key, (level, piece_key)) as piece_key, min(level) as level from j where level is not null group by id""",
 )
 def body_match(spark: SparkSession, d: str) -> DataFrame:
-    """Three levels of matching within a day, the best level first: place and text, text alone, place alone."""
-    a = voices(spark, d).select("id", "date", F.lower(F.trim("location")).alias("place"), F.left(letters_key(F.col("displayText")), F.lit(40)).alias("probe")).where("place <> ''")
-    b = tarbell(spark, d).where("iso is not null").select("piece_key", F.col("iso").alias("date"), F.lower("title").alias("title"), letters_key(F.col("body")).alias("body"))
+    """Three levels of matching within a month, the best level first: place and text, text alone, place alone."""
+    a = voices(spark, d, "date", "location", "displayText").select("id", F.left("date", F.lit(7)).alias("month"), F.lower(F.trim("location")).alias("place"), F.left(letters_key(F.col("displayText")), F.lit(40)).alias("probe")).where("place <> ''")
+    b = tarbell(spark, d).where("iso is not null").select("piece_key", F.left("iso", F.lit(7)).alias("month"), F.lower("title").alias("title"), letters_key(F.col("body")).alias("body"))
     in_title, in_body = F.contains("title", "place"), F.contains("body", "probe")
     level = F.when(in_title & in_body, 1).when(in_body, 2).when(in_title, 3)
-    pairs = a.join(b, "date").select("id", "piece_key", level.alias("level")).where("level is not null")
+    pairs = a.join(b, "month").select("id", "piece_key", level.alias("level")).where("level is not null")
     return match.first_match(pairs, "id", F.col("level"), F.col("piece_key")).select("id", "piece_key", "level")
 
 

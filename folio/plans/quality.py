@@ -101,9 +101,3 @@ def quote_containment(spark: SparkSession, d: str) -> DataFrame:
 
     s = shard(spark, d).where("trim(tweet) <> '' and displayText is not null")
     return s.select("id", F.contains(letters_key(F.col("displayText")), F.left(letters_key(F.col("tweet")), F.lit(30))).alias("contained"))
-
-
-@CORE.add("customer_orphans", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer)")
-def customer_orphans(spark: SparkSession, d: str) -> DataFrame:
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(customers, "o_custkey", "left_anti").select("o_orderkey")

@@ -45,9 +45,9 @@ def whole_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line, before, after): lines with their neighbours, numbered from 1."""
-    lines = texts.select(key, F.split(text, "\n").alias("l")).select(key, F.posexplode("l").alias("at", "line"), "l")
-    around = {"before": F.get("l", F.col("at") - 1), "after": F.get("l", F.col("at") + 1)}
-    return lines.select(key, (F.col("at") + 1).alias("line_no"), "line", *[c.alias(n) for n, c in around.items()])
+    split = texts.select(key, F.split(text, "\n").alias("l"))
+    around = F.transform("l", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.get("l", i - 1).alias("before"), F.get("l", i + 1).alias("after")))
+    return split.select(key, F.explode(around).alias("s")).select(key, "s.*")
 
 
 def era_pruned(df: DataFrame, era: Column, wanted: str | list[str]) -> DataFrame:

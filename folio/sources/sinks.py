@@ -60,3 +60,24 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     if n:
         new.write.mode("append").parquet(path)
     return n
+
+
+# Keys a manifest object must have.
+MANIFEST_KEYS = ("counts", "contentSpan", "byYear", "dateCount", "authors", "builtFrom", "shards", "shardByYear")
+
+
+def write_object(sections: DataFrame, path: str) -> None:
+    """One JSON object of (section, key, value): a map a section. A manifest has as many entries as days and authors."""
+    maps = sections.where("key is not null").groupBy("section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("m"))
+    one = maps.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", F.to_json("m")))))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def manifest_problems(spark: SparkSession, path: str) -> list[str]:
+    """What is wrong with a written manifest object: not JSON, keys missing, no shards."""
+    text = spark.read.text(path, wholetext=True)
+    parsed = text.select(F.from_json("value", "map<string,string>").alias("o")).first()
+    if parsed is None or parsed["o"] is None:
+        return ["not an object"]
+    found = [f"missing key {k}" for k in MANIFEST_KEYS if k not in parsed["o"]]
+    return found + (["no shards"] if parsed["o"].get("shards") in (None, "{}") else [])
