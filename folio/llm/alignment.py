@@ -184,48 +184,60 @@ def decode(source: list[list[str]], target: list[list[str]], lex: Lexicon) -> li
     if not n or not m:
         return []
     mt, wt, ms, ws = similarities(source, target, lex)
-    spans = [tuple(i + x for x in shape) for shape in SHAPES for i in range(n - shape[-1])]
-    start = np.array([x[0] for x in spans])
-    end = np.array([x[-1] for x in spans])
-    emit = np.full((len(spans), m), -np.inf)
-    for s, span in enumerate(spans):
-        of = list(span)
-        sim = 0.5 * (np.minimum(mt[of].sum(axis=0), wt) / np.maximum(wt, 1e-9) + ms[of].sum(axis=0) / max(ws[of].sum(), 1e-9))
-        emit[s] = SCALE * (sim - NULL_SIMILARITY)
-        if len(of) > 1:  # every part of a span must bring something of its own
-            own = ms[of] / np.maximum(ws[of, None], 1e-9)
-            weak = (own.min(axis=0) < 0.45) | (mt[of].min(axis=0) < 0.12 * wt)
-            emit[s] += SPAN_COST
-            emit[s][weak] = -np.inf
+    emit = np.full((len(SHAPES), n, m), -np.inf)  # by shape and first source sentence
+    share_s = ms / np.maximum(ws[:, None], 1e-9)
+    for k, shape in enumerate(SHAPES):
+        r = n - shape[-1]
+        if r <= 0:
+            continue
+        rows = [slice(x, x + r) for x in shape]
+        t = np.minimum(sum(mt[x] for x in rows), wt) / np.maximum(wt, 1e-9)
+        sim = 0.5 * (t + sum(ms[x] for x in rows) / np.maximum(sum(ws[x] for x in rows), 1e-9)[:, None])
+        emit[k, :r] = SCALE * (sim - NULL_SIMILARITY)
+        if len(shape) > 1:  # every part of a span must bring something of its own
+            weak = (np.minimum.reduce([share_s[x] for x in rows]) < 0.45) | (np.minimum.reduce([mt[x] for x in rows]) < 0.12 * wt)
+            emit[k, :r] += SPAN_COST
+            emit[k, :r][weak] = -np.inf
     # best[e]: best score of paths whose last source sentence is e - 1; 0 stands for none so far
     best = np.full(n + 1, -np.inf)
     best[0] = 0.0
+    steps = np.arange(-WINDOW, WINDOW + 1)
+    # column w of the padded scores seen from source sentence i is the end i + 1 - step, for steps from the last to the first
+    step_cost = np.where(steps == 0, SAME, PER_STEP * np.abs(steps - 1))[::-1]
+    width = len(steps)
+    ends = np.array([shape[-1] for shape in SHAPES])
     back: list[tuple[np.ndarray, np.ndarray]] = []
     for j in range(m):
-        enter = np.full(n, best.max() + FAR)
-        origin = np.full(n, int(best.argmax()))
-        for step in range(-WINDOW, WINDOW + 1):
-            cost = SAME if step == 0 else PER_STEP * abs(step - 1)
-            at = np.arange(n) - step + 1
-            ok = (at >= 0) & (at <= n)
-            value = np.where(ok, best[np.clip(at, 0, n)] + cost, -np.inf)
-            better = value > enter
-            enter[better], origin[better] = value[better], at[better]
-        value = enter[start] + emit[:, j]
-        after = best.copy()  # the null state leaves the place in the source as it is
+        padded = np.concatenate([np.full(WINDOW, -np.inf), best[1:], np.full(WINDOW, -np.inf)])
+        padded[WINDOW - 1] = best[0]
+        seen = np.lib.stride_tricks.sliding_window_view(padded, width) + step_cost
+        pick = width - 1 - np.argmax(seen[:, ::-1], axis=1)  # of equals the one with the least step
+        near = seen[np.arange(n), pick]
+        far = best.max() + FAR
+        enter = np.maximum(near, far)
+        origin = np.where(near > far, np.arange(n) + 1 - steps[::-1][pick], int(best.argmax()))
+        value = enter[None, :] + emit[:, :, j]
+        arrive = np.full((len(SHAPES), n), -np.inf)
+        for k, e in enumerate(ends):
+            arrive[k, e:] = value[k, : n - e]
+        shape_of = arrive.argmax(axis=0)
+        top = arrive[shape_of, np.arange(n)]
+        better = top > best[1:]  # the null state leaves the place in the source as it is
+        after = best.copy()
+        after[1:][better] = top[better]
+        first = np.maximum(np.arange(n) - ends[shape_of], 0)
         state = np.full(n + 1, -1)
+        state[1:][better] = (shape_of * n + first)[better]
         came = np.arange(n + 1)
-        for s in np.argsort(value):
-            if value[s] > after[end[s] + 1]:
-                after[end[s] + 1], state[end[s] + 1], came[end[s] + 1] = value[s], s, origin[start[s]]
+        came[1:][better] = origin[first][better]
         back.append((state, came))
         best = after
     at, out = int(best.argmax()), []
     for j in range(m - 1, -1, -1):
         state, came = back[j]
-        s, at = state[at], int(came[at])
+        s, at = int(state[at]), int(came[at])
         if s >= 0:
-            out += [(i, j) for i in spans[s]]
+            out += [(s % n + x, j) for x in SHAPES[s // n]]
     return sorted(out)
 
 
