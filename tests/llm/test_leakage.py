@@ -64,6 +64,16 @@ def test_copies_edited_every_few_words_are_aligned(spark):
     t = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(x.doc_id, x.item_id): x.score for x in leakage.leaked_passages(d, t).collect()}
     assert all(got.get((i, i), 0) >= 2 * 45 - 3 * 5 for i in range(60))
+    number: dict = {}
+    ids = {k: {i: np.array([number.setdefault(x, len(number) + 1) for x in x.split()]) for i, x in side} for k, side in (("d", docs), ("t", [(i, " ".join(w)) for i, w in items]))}
+    want = set()
+    for a, doc in ids["d"].items():
+        for b, item in ids["t"].items():
+            score, run = leakage.align(item, doc)
+            shares = set(leakage.seed_hashes(item, 5).tolist()) & set(leakage.seed_hashes(doc, 5).tolist())
+            if shares and (score >= leakage.LEAST_SHARE * 2 * len(item) or run >= 12):
+                want.add((a, b))
+    assert set(got) == want
 
 
 def test_stretches_lose_nothing():
@@ -72,4 +82,8 @@ def test_stretches_lose_nothing():
         item, doc = r.integers(1, 12, r.integers(5, 30)), r.integers(0, 40, r.integers(0, 120))
         if len(doc) > 30:
             doc[10 : 10 + len(item) // 2] = item[: len(item) // 2]
-        assert leakage.align_parts(item, doc) == leakage.align(item, doc)
+        score, run = leakage.align(item, doc)
+        assert leakage.align_parts(item, doc) == (score, run)
+        for need in (6, 12, 20):
+            got = leakage.align_parts(item, doc, need, 6)
+            assert (got[0] == score if score >= need else got[0] <= score) and (got[1] == run if run >= 6 else got[1] <= run)
