@@ -63,8 +63,8 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if abs(n - m) > 3 or not n or not m:
-        return 0.0
+    if abs(n - m) > (1 - LEAST_WORD) * max(n, m) or not n or not m:
+        return 0.0  # below every threshold, whatever the letters
     two, one = None, list(range(m + 1))
     for i in range(1, n + 1):
         row = [i] + [0] * m
@@ -242,7 +242,8 @@ def link_mentions(mentions: DataFrame, directory: DataFrame, *, own_centre: int
     counts = said.groupBy("word").agg(F.sum("n").alias("count"))
     left = _with_bands(counts.select("word"), bands)
     right = _with_bands(listed.select(F.col("listed").alias("word")).distinct(), bands).withColumnRenamed("word", "listed")
-    met = left.join(right, "band").select("word", "listed").distinct()
+    cores = mentions.sparkSession.sparkContext.defaultParallelism
+    met = left.join(right, "band").select("word", "listed").distinct().repartition(cores)  # few bytes, but costly rows
     # a swap of neighbours is one edit here and two for levenshtein(); a short form is a prefix
     most = F.floor(2 * (1 - LEAST_PART) * F.greatest(F.length("word"), F.length("listed")) + 1e-9).cast("int")
     met = met.where((F.levenshtein("word", "listed") <= most) | F.col("listed").startswith(F.col("word")))
