@@ -70,3 +70,14 @@ def test_arbitrary_state(spark, tmp_path):
     totals = _run(events.running_totals(events.event_stream(spark, str(tmp_path / "in"))), "totals", "update")
     last = totals.groupBy("user_id").agg(F.max("events").alias("n"))
     assert last.exceptAll(batch.groupBy("user_id").agg(F.count("*").alias("n"))).count() == 0
+
+
+def test_manifest_object(spark, tmp_path):
+    rows = [(s, "k", "1") for s in sinks.MANIFEST_KEYS] + [("counts", None, "2"), ("counts", "posts", "3")]
+    whole = spark.createDataFrame(rows, "section string, key string, value string")
+    sinks.write_object(whole, str(tmp_path / "m"))
+    assert sinks.manifest_problems(spark, str(tmp_path / "m")) == []
+    sinks.write_object(whole.where("section <> 'shards'"), str(tmp_path / "n"))
+    assert sinks.manifest_problems(spark, str(tmp_path / "n")) == ["missing key shards", "no shards"]
+    spark.createDataFrame([("no object",)], "value string").coalesce(1).write.text(str(tmp_path / "o"))
+    assert sinks.manifest_problems(spark, str(tmp_path / "o")) == ["not an object"]
