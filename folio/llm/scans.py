@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from folio.llm.chars import print_form
 from folio.session import cut_lineage, write_shared
 
-#: A word is in the vocabulary from this count and this share of all words on; the share bounds what is broadcast.
-LEAST_COUNT, SHARE = 3, 0.000001
+#: A word is in the vocabulary from this count on, however many words there are.
+LEAST_COUNT = 3
+#: Words of one trie; a larger vocabulary is cut into blocks, and each token is looked up in all of them.
+BLOCK_WORDS = 200_000
 #: A misread token is at least so many times rarer than the word it stands for.
 RARER = 5
 #: A title line is a running header if it stands alone in at least this many records.
@@ -193,31 +195,59 @@ class Vocabulary:
 
     def misread(self, token: str, count: int) -> list[tuple[str, float]]:
         """[(word, log weight)] a misread token may stand for; an empty word if it is garbled beyond them."""
-        if _NUMBERED.fullmatch(token) or len(token) < 2 or not any(c.isalpha() for c in token):
+        bare = bare_form(token)
+        if not may_be_misread(token) or (bare != token and self.counts.get(bare, 0) >= LEAST_COUNT):
             return []
-        bare = token.strip("!'«»*")
-        if bare != token and self.counts.get(bare, 0) >= LEAST_COUNT:
-            return []
-        limit = min(MOST, 1 + len(token) // 3)
-        own = self.counts.get(token, 0) or count
-        out = []
-        for w, (cost, pure) in self.within(token, limit, edits=False).items():
-            if pure and cost and self.counts[w] >= RARER * own and len(w) > 1:
-                out.append((w, math.log(self.counts[w]) - 2.5 * cost))
-        if not out and _IN_WORD.search(token) and not re.match(r"\d", token):
-            near = self.within(token, limit + 1, edits=True) if len(token) < 24 else {}
-            out = [(w, math.log(self.counts[w]) - 2.5 * c) for w, (c, _) in near.items() if c and len(w) > 2] or [("", 0.0)]
+        out = self.confused(token, self.counts.get(token, 0) or count)
+        if not out and garbled(token):
+            out = self.edited(token) or [("", 0.0)]
         return sorted(out, key=lambda x: (-x[1], x[0]))
 
+    def confused(self, token: str, own: int) -> list[tuple[str, float]]:
+        """[(word, log weight)] far more frequent words that confusions alone lead to."""
+        found = self.within(token, _limit(token), edits=False)
+        return [(w, math.log(self.counts[w]) - 2.5 * c) for w, (c, pure) in found.items() if pure and c and self.counts[w] >= RARER * own and len(w) > 1]
+
+    def edited(self, token: str) -> list[tuple[str, float]]:
+        """[(word, log weight)] words that edits and confusions lead to."""
+        found = self.within(token, _limit(token) + 1, edits=True)
+        return [(w, math.log(self.counts[w]) - 2.5 * c) for w, (c, _) in found.items() if c and len(w) > 2]
+
     def broken(self, left: str, mark: str, right: str) -> bool:
-        """Whether a word was broken here, and not a compound at its own hyphen or two words at a stray soft hyphen."""
-        a, b = word_key(left), word_key(right)
-        joined, compound = self.counts.get(a + b, 0), self.counts.get(f"{a}-{b}", 0)
-        if mark == "¬" or joined > compound:
-            return True
-        if compound or (right[0].isupper() and not left.isupper()):
-            return False
-        return not (mark == "­" and self.counts.get(a, 0) >= LEAST_COUNT and self.counts.get(b, 0) >= LEAST_COUNT)
+        return broken_word(left, mark, right, [self.counts.get(k, 0) for k in joint_keys(left, right)])
+
+
+def _limit(token: str) -> int:
+    return min(MOST, 1 + len(token) // 3)
+
+
+def bare_form(token: str) -> str:
+    return token.strip("!'«»*")
+
+
+def may_be_misread(token: str) -> bool:
+    return not _NUMBERED.fullmatch(token) and len(token) > 1 and any(c.isalpha() for c in token)
+
+
+def garbled(token: str) -> bool:
+    """Whether a sign or digit stands inside the token, which no printed word has."""
+    return bool(_IN_WORD.search(token)) and not re.match(r"\d", token)
+
+
+def joint_keys(left: str, right: str) -> tuple[str, str, str, str]:
+    """The words that decide about a joint: joined, as a compound, and either half."""
+    a, b = word_key(left), word_key(right)
+    return a + b, f"{a}-{b}", a, b
+
+
+def broken_word(left: str, mark: str, right: str, counts: list[int]) -> bool:
+    """Whether a word was broken here, and not a compound at its own hyphen or two words at a stray soft hyphen."""
+    joined, compound, a, b = counts
+    if mark == "¬" or joined > compound:
+        return True
+    if compound or (right[0].isupper() and not left.isupper()):
+        return False
+    return not (mark == "­" and a >= LEAST_COUNT and b >= LEAST_COUNT)
 
 
 def _slim(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -268,33 +298,108 @@ def _pieces(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text", "headers").mapInPandas(run, "row long, kind string, a string, b string, c string, n long")
 
 
-def assess(df: DataFrame, key: str, text: str, rank: bool = True) -> tuple[DataFrame, DataFrame]:
+def _looked_up(tokens: DataFrame, words: DataFrame, blocks: int, edits: bool) -> DataFrame:
+    """(a, word, score): the words of all blocks of the vocabulary that tokens (a, n) may stand for.
+
+    A task holds one block's trie at a time; the tokens stream past it, spread over all cores.
+    """
+    parts = max(1, -(-tokens.sparkSession.sparkContext.defaultParallelism // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = words.select(F.expr(f"cast(pmod(xxhash64(a), {blocks}) as int)").alias("block"), every(parts).alias("part"), F.lit(0).alias("side"), "a", "n")
+    asked = tokens.select(every(blocks).alias("block"), F.expr(f"cast(pmod(xxhash64(a), {parts}) as int)").alias("part"), F.lit(1).alias("side"), "a", "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, counts, trie = None, {}, None
+        for b in batches:
+            out = []
+            for block, part, side, a, n in zip(*(b[c] for c in ("block", "part", "side", "a", "n")), strict=True):
+                if (block, part) != at:
+                    at, counts, trie = (block, part), {}, None
+                if side == 0:
+                    counts[a] = int(n)
+                    continue
+                trie = trie or Vocabulary(counts)
+                out += [(a, w, s) for w, s in (trie.edited(a) if edits else trie.confused(a, int(n)))]
+            yield pd.DataFrame(out, columns=["a", "word", "score"])
+
+    both = known.unionByName(asked).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side")
+    return both.mapInPandas(run, "a string, word string, score double")
+
+
+def _meant_in_blocks(counts: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """(a, word, score) as of ``Vocabulary.misread`` for every token, over a vocabulary too large for one trie."""
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[[may_be_misread(t) for t in b["a"]]]
+            bare = [bare_form(t) for t in b["a"]]
+            yield b.assign(bare=[x if x != t else None for x, t in zip(bare, b["a"], strict=True)], garbled=[garbled(t) for t in b["a"]])
+
+    tokens = counts.mapInPandas(asked, "a string, n long, bare string, garbled boolean")
+    tokens = cut_lineage(tokens.join(words.select(F.col("a").alias("bare")), "bare", "left_anti"))
+    confused = cut_lineage(_looked_up(tokens, words, blocks, edits=False))
+    rest = tokens.where("garbled").join(confused, "a", "left_anti")
+    edited = cut_lineage(_looked_up(rest, words, blocks, edits=True))
+    beyond = rest.join(edited, "a", "left_anti").select("a", F.lit("").alias("word"), F.lit(0.0).alias("score"))
+    return confused.unionByName(edited).unionByName(beyond)
+
+
+def _broken_in_blocks(joints: DataFrame, words: DataFrame) -> DataFrame:
+    """The ``joints`` (row, a, b, c) at which a word was broken; the words that decide are joined."""
+    named = ["joined", "compound", "left", "right"]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [joint_keys(x, y) for x, y in zip(b["a"], b["c"], strict=True)]
+            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(found, columns=named)], axis=1)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b[[f"n_{k}" for k in named]].to_numpy()
+            yield b.loc[np.array([broken_word(x, m, y, c) for x, m, y, c in zip(b["a"], b["b"], b["c"], n, strict=True)], dtype=bool), ["row", "a", "b", "c"]]
+
+    joints = joints.mapInPandas(keys, "row long, a string, b string, c string, " + ", ".join(f"{k} string" for k in named))
+    for k in named:
+        joints = joints.join(words.toDF(k, f"n_{k}"), k, "left").fillna(0, [f"n_{k}"])
+    return joints.select("row", "a", "b", "c", *[f"n_{k}" for k in named]).mapInPandas(decide, "row long, a string, b string, c string")
+
+
+def assess(df: DataFrame, key: str, text: str, rank: bool = True, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(noise, rows): noise (row, kind, token, repair), one row for each thing found; rows (row, rec_key, text, headers).
 
     ``kind`` is hyphen (token ``left|mark|right``), furniture or misread. Null and blank texts and rows with a null key
-    are left out; rows repeated with key and text count once. Empty tables give empty results. Without ``rank`` the
+    are left out; rows repeated with key and text count once. Empty tables give empty results. A vocabulary of more
+    than ``block_words`` words is looked up block by block, with the same result. Without ``rank`` the
     words retrieved for a misread token are not ranked by the words before and after it, and ``repair`` is empty.
     """
     spark = df.sparkSession
     rows = write_shared(_with_headers(_slim(df, key, text)))
     pieces = write_shared(_pieces(rows))
     counts = pieces.where("kind = 'token'").groupBy("a").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    frequent = counts.where(F.col("n") >= max(LEAST_COUNT, SHARE * total))
-    words = spark.sparkContext.broadcast(Vocabulary({r["a"]: r["n"] for r in frequent.collect()}))
+    words = counts.where(F.col("n") >= LEAST_COUNT)
+    joints = pieces.where("kind = 'joint'").select("row", "a", "b", "c").distinct()
+    held = words.limit(block_words + 1).collect()
+    if len(held) > block_words:
+        words = cut_lineage(words)
+        meant = _meant_in_blocks(counts, words, -(-words.count() // block_words))
+        joints = _broken_in_blocks(joints, words)
+    else:
+        trie = spark.sparkContext.broadcast(Vocabulary({r["a"]: r["n"] for r in held}))
 
-    def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = words.value
-        for b in batches:
-            out = [(t, w, s) for t, n in zip(b["a"], b["n"], strict=True) for w, s in v.misread(t, int(n))]
-            yield pd.DataFrame(out, columns=["a", "word", "score"])
+        def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            v = trie.value
+            for b in batches:
+                out = [(t, w, s) for t, n in zip(b["a"], b["n"], strict=True) for w, s in v.misread(t, int(n))]
+                yield pd.DataFrame(out, columns=["a", "word", "score"])
 
-    def broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = words.value
-        for b in batches:
-            yield b[np.array([v.broken(x, m, y) for x, m, y in zip(b["a"], b["b"], b["c"], strict=True)], dtype=bool)]
+        def broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            v = trie.value
+            for b in batches:
+                yield b[np.array([v.broken(x, m, y) for x, m, y in zip(b["a"], b["b"], b["c"], strict=True)], dtype=bool)]
+
+        meant = counts.mapInPandas(misread, "a string, word string, score double")
+        joints = joints.mapInPandas(broken, "row long, a string, b string, c string")
 
-    meant = counts.mapInPandas(misread, "a string, word string, score double")
     tokens = pieces.where("kind = 'token'")
     if rank:
         pairs = cut_lineage(tokens.groupBy(F.col("b").alias("before"), F.col("a").alias("word")).agg(F.sum("n").alias("pair")))
@@ -307,7 +412,6 @@ def assess(df: DataFrame, key: str, text: str, rank: bool = True) -> tuple[DataF
     else:
         bad = meant.select("a").distinct()
         reads = tokens.select("row", "a").join(bad, "a", "left_semi").select("row", F.col("a").alias("token"), F.lit("").alias("repair"))
-    joints = pieces.where("kind = 'joint'").select("row", "a", "b", "c").distinct().mapInPandas(broken, "row long, a string, b string, c string")
     noise = (
         reads.select("row", F.lit("misread").alias("kind"), "token", "repair")
         .unionByName(joints.select("row", F.lit("hyphen").alias("kind"), F.concat_ws("|", "a", "b", "c").alias("token"), F.concat("a", "c").alias("repair")))

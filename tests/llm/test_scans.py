@@ -68,3 +68,25 @@ def test_the_word_after_decides_between_equal_repairs(spark):
     rows += [("x", "they saw the 6ear run away"), ("y", "they saw the bcar say now")]
     got = {r.rec_key: r.text for r in scans.restored(spark.createDataFrame(rows, "key string, text string"), "key", "text").collect()}
     assert got["x"] == "they saw the bear run away" and len(got) == 20
+
+
+def test_a_long_garbled_token_is_retrieved_too():
+    word = "internationalestablishments"
+    garbled = word.replace("t", "!", 1).replace("shm", "shrn")
+    assert len(garbled) > 24 and [w for w, _ in scans.Vocabulary({word: 50}).misread(garbled[:9] + "x" + garbled[9:], 1)] == [word]
+
+
+def test_words_below_a_millionth_of_all_are_found(spark):
+    rows = [(f"k{i}", f"{i} " + "a " * 800_000) for i in range(4)] + [("w", "harbour " * 3), ("x", "har~our")]
+    noise, _ = scans.assess(spark.createDataFrame(rows, "key string, text string"), "key", "text")
+    assert {(r.token, r.repair) for r in noise.where("kind = 'misread'").collect()} == {("har~our", "harbour")}
+
+
+def test_a_vocabulary_in_blocks_gives_the_same(spark, table):
+    hard = [("long", "the old batta1i0nx marched vvith trea­\nsury and zq!zqq rear-\nguard"), ("bare", "'battalion! «the»")]
+    df = table.unionByName(spark.createDataFrame([(*r, "x") for r in hard], table.schema))
+    for rank in (True, False):
+        whole, _ = scans.assess(df, "key", "text", rank)
+        blocks, _ = scans.assess(df, "key", "text", rank, block_words=4)
+        want = sorted(tuple(r) for r in whole.collect())
+        assert want and sorted(tuple(r) for r in blocks.collect()) == want
