@@ -57,3 +57,30 @@ def test_pairs_of_a_day_are_whole_in_one_cell_and_in_many(spark, monkeypatch):
         assert {(r.key_a, r.key_b): r.ratio for r in got} == near and len(got) == len(near)
         got = match.edits_within(df, "day", "id", "t", 60).collect()
         assert {(r.key_a, r.key_b): r.edits for r in got} == few and len(got) == len(few)
+
+
+def test_a_greedy_walk_in_steps_equals_the_plain_one(spark):
+    rows, df = days(spark, 5)
+    want = set()
+    for day in {x[1] for x in rows}:
+        kept = []
+        for key, _, t in sorted(x for x in rows if x[1] == day):
+            if all(ratio((t or "")[:150], k) <= 0.55 for k in kept):
+                kept.append((t or "")[:150])
+                want.add(key)
+    got = [r.id for r in match.greedy_distinct(df, "day", "id", "t", 0.55).collect()]
+    assert set(got) == want and len(got) == len(want)
+    texts = made(7, 300)
+    codes, lengths = likeness.coded(texts)
+    kept = []
+    for i, t in enumerate(texts):
+        if all(ratio(t, texts[k]) <= 0.4 for k in kept):
+            kept.append(i)
+    assert len(texts) > match.AHEAD and match._kept([np.arange(len(texts))], codes, lengths, 0.4) == [set(kept)]
+
+
+def test_a_crowded_day_of_copies_costs_its_distinct_texts_only(spark):
+    texts = made(9, 20)
+    rows = [(f"{c:04}-{k:02}", "d", t) for c in range(200) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, day string, t string")
+    assert {r.id[:4] for r in match.greedy_distinct(df, "day", "id", "t", 0.55).collect()} == {"0000"}
