@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ BLOOM_BITS = 1 << 25
 MANY = 65535
 #: Sets a task remembers as sent; what it has forgotten is sent once more and falls out later.
 REMEMBERED = 500_000
+#: Shards are shuffled, and pairs verified, in so many turns, so that only a part of them lies on the disks at a time.
+TURNS = 2
 #: Queries walk the trees so many possible visits at a time; bounds the memory of a task.
 VISITS = 4_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -388,10 +391,14 @@ def shard_rows_of(offsets: np.ndarray, hashes: np.ndarray, lo: np.ndarray, hi: n
 SENT = {"lo": np.uint64, "hi": np.uint64, "size": np.uint16, "rows": np.uint32, "cell_hi": np.uint32, "cell_lo": np.uint8, "rest": np.uint16}
 
 
-def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int, radius: int) -> DataFrame:
-    """(lo_a, hi_a, lo_b, hi_b): different fingerprints within the radius that share a shard, a repeated pair once."""
+def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int, radius: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(lo_a, hi_a, lo_b, hi_b): different fingerprints within the radius that share a shard, a repeated pair once.
+
+    Of all shards only those whose turn it is; every shard has one of the ``turns``.
+    """
     spark = prints.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-parts // turns) * turns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = _Fresh()
@@ -405,6 +412,11 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
             if not len(owner):
                 continue
             to = (_mix(cell >> np.uint64(2)) % np.uint64(parts)).astype(np.int64)
+            if turns > 1:
+                now = to % turns == turn
+                to, cell, owner, rest = to[now], cell[now], owner[now], rest[now]
+                if not len(to):
+                    continue
             order = np.lexsort((owner, to))
             to, cell, owner, rest = to[order], cell[order], owner[order], rest[order]
             row_cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), [len(to)]])
@@ -436,7 +448,7 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
         yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in pairs], names=["lo_a", "hi_a", "lo_b", "hi_b"])
 
     kinds = ", ".join(f"{k} binary" for k in SENT)
-    return prints.mapInArrow(send, f"to int, {kinds}").repartition(parts, "to").mapInArrow(meet, "lo_a long, hi_a long, lo_b long, hi_b long").distinct()
+    return prints.mapInArrow(send, f"to int, {kinds}").repartition(parts // turns, "to").mapInArrow(meet, "lo_a long, hi_a long, lo_b long, hi_b long").distinct()
 
 
 def _bloom_at(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -501,10 +513,13 @@ def near_duplicates(
     prints = write_shared(fingerprints(df, key, text, width=width, min_words=min_words, as_printed=as_printed, within=within))
     bare = spread(prints.select("lo", "hi", "cls", "sh"))
     codes = df.sparkSession.sparkContext.broadcast(sketch_counts(bare))
-    near = candidate_pairs(bare, codes, similarity, shard_rows, radius)
+    # what a turn shuffles is gone before the next one begins
+    met = [write_shared(candidate_pairs(bare, codes, similarity, shard_rows, radius, k, TURNS)) for k in range(TURNS)]
+    near = reduce(DataFrame.unionByName, met)
     # different sets with one fingerprint: rare, and as close as a pair can be
     twins = prints.groupBy("lo", "hi").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last")
-    near = write_shared(near.unionByName(twins.select(F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))))
+    near = near.unionByName(twins.select(F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")))
+    near = write_shared(near.distinct())
     ends = near.select(F.explode(F.array(F.struct(F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")), F.struct(F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi")))).alias("e"))
     bitmap = df.sparkSession.sparkContext.broadcast(_bloom(ends.select("e.lo", "e.hi")))
 
@@ -526,11 +541,14 @@ def near_duplicates(
     a = sets.toDF("lo_a", "hi_a", "cls_a", "n_a", "sh_a")
     b = sets.toDF("lo_b", "hi_b", "cls_b", "n_b", "sh_b")
     same = (F.col("lo_a") == F.col("lo_b")) & (F.col("hi_a") == F.col("hi_b"))
-    pairs = near.join(a, ["lo_a", "hi_a"]).join(b, ["lo_b", "hi_b"]).where((same & (F.col("cls_a") < F.col("cls_b"))) | (~same & (F.col("cls_a") != F.col("cls_b"))))
     first = F.col("cls_a") < F.col("cls_b")
-    links = _verified(pairs, similarity).select(
-        F.when(first, F.col("cls_a")).otherwise(F.col("cls_b")).alias("cls_a"), F.when(first, F.col("cls_b")).otherwise(F.col("cls_a")).alias("cls_b"), "similarity"
-    )
+    ends_of = (F.when(first, F.col("cls_a")).otherwise(F.col("cls_b")).alias("cls_a"), F.when(first, F.col("cls_b")).otherwise(F.col("cls_a")).alias("cls_b"))
+    turns = []
+    for k in range(TURNS):
+        some = near.where(F.expr(f"pmod(xxhash64(lo_a, hi_a), {TURNS}) = {k}"))
+        pairs = some.join(a, ["lo_a", "hi_a"]).join(b, ["lo_b", "hi_b"]).where((same & (F.col("cls_a") < F.col("cls_b"))) | (~same & (F.col("cls_a") != F.col("cls_b"))))
+        turns.append(write_shared(_verified(pairs, similarity).select(*ends_of, "similarity")))
+    links = reduce(DataFrame.unionByName, turns)
     return links, prints.select("part", "cls", "key").repartition("cls").distinct()
 
 

@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 
 from folio.llm import neardup
 from folio.llm.words import words
+from folio.session import write_shared
 
 
 def brute(rows, width=3, least=12, t=0.5):
@@ -128,3 +130,24 @@ def test_every_pair_at_the_threshold_meets_in_a_shard(spark):
     links, members = neardup.near_duplicates(df, "id", "t")
     got = {tuple(sorted((x.key_a, x.key_b))) for x in neardup.key_pairs(links, members).collect()}
     assert got == want
+
+
+def test_turns_lose_no_pair(spark, monkeypatch):
+    rows = made(4, 30)
+    monkeypatch.setattr(neardup, "TURNS", 3)
+    got = [(r.key_a, r.key_b) for r in neardup.key_pairs(*neardup.near_duplicates(spark.createDataFrame(rows, "id string, t string"), "id", "t")).collect()]
+    assert set(got) == brute(rows).keys() and len(got) == len(set(got))
+
+
+def test_what_a_shared_table_shuffled_goes_with_its_end(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before = shuffled()
+    table = write_shared(spark.range(5000).repartition(4, "id"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 5000
