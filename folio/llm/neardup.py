@@ -3,8 +3,9 @@
 A text is the set of its distinct runs of ``width`` words. Sets at Jaccard similarity t share a shingle of their
 prefixes (the rarer part of each set), so every pair at t or more meets in the shard of such a shingle. Each set has a
 fingerprint of 64 letters of two bits, from 64 min-hash values; the number of letters in which two fingerprints differ
-(their Hamming distance) falls with the similarity. The sets of a shard form a BK-tree, built where its rows are, and
-only edges that can lead within the radius are followed. Pairs found are verified exactly on the whole sets.
+(their Hamming distance) falls with the similarity. In a shard only pairs are compared whose sizes and places of the
+shingle allow the similarity; where the radius is small enough for trees to prune, the sets of a shard form a BK-tree.
+A second fingerprint of 64 letters leaves few unlike pairs. Pairs found are verified exactly on the whole sets.
 
 Only the order of shingles by rarity needs a count over all texts. It comes from a sketch of fixed size, which never
 takes a shingle of two sets for one of a single set: so shingles of a single set, most of all, are left out without
@@ -40,19 +41,23 @@ MANY = 65535
 #: Sets a task remembers as sent; what it has forgotten is sent once more and falls out later.
 REMEMBERED = 500_000
 #: Shards are shuffled, and pairs verified, in so many turns, so that only a part of them lies on the disks at a time.
-TURNS = 2
+TURNS, VERIFY_TURNS = 4, 2
 #: Queries walk the trees so many possible visits at a time; bounds the memory of a task.
 VISITS = 4_000_000
+#: Trees are walked up to this radius; at larger ones nearly every node would be visited.
+TREE_RADIUS = 6
+#: Pairs of a shard compared at a time, so that they stay in the cache.
+COMPARED = 1 << 17
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def radius_for(similarity: float, miss: float = MISS) -> int:
+def radius_for(similarity: float, miss: float = MISS, letters: int = LETTERS) -> int:
     """The least Hamming radius that misses a pair of this similarity with at most this probability."""
     p = (1 - similarity) * 0.75  # letters of different min-hash values are equal by chance once in four
     tail, r = 1.0, -1
     while tail > miss:
         r += 1
-        tail -= math.comb(LETTERS, r) * p**r * (1 - p) ** (LETTERS - r)
+        tail -= math.comb(letters, r) * p**r * (1 - p) ** (letters - r)
     return r
 
 
@@ -112,46 +117,111 @@ class BKForest:
         return np.concatenate([none, *found_q]), np.concatenate([none, *found_n])
 
 
+def _tree_pairs(shard_t: np.ndarray, shard_q: np.ndarray, t: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(i, j, nodes visited): queries ``q`` and nodes ``t`` of a shard within the radius; with ``same`` each pair once."""
+    forest = BKForest(shard_t, lo[t], hi[t])
+    root = np.searchsorted(shard_t, shard_q, "left")
+    members = np.searchsorted(shard_t, shard_q, "right") - root
+    keep = members > (1 if same else 0)
+    q, root, members = q[keep], root[keep], members[keep]
+    cuts = np.searchsorted(np.cumsum(members), np.arange(VISITS, members.sum() + VISITS, VISITS)) + 1 if len(q) else []
+    begin = 0
+    for end in cuts:
+        part = slice(begin, min(int(end), len(q)))
+        before = forest.visited
+        i, j = forest.within(q[part], root[part], lo[q[part]], hi[q[part]], radius)
+        j = t[j]
+        keep = i < j if same else slice(None)
+        yield i[keep], j[keep], forest.visited - before
+        begin = part.stop
+
+
+def _window_pairs(shard: np.ndarray, rest: np.ndarray, size: np.ndarray, q: np.ndarray, t: np.ndarray, similarity: float, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): rows ``q`` with those rows ``t`` of their shard that are larger and small enough for what the row has left.
+
+    A set of n shingles with r of them left reaches the similarity only with sets of at most r (1 + t) / t - n. By size
+    these stand together, so no other pair is made. With ``equal`` rows of one size are paired, too; if ``q`` is ``t``
+    each such pair comes once. Sets of ``MANY`` shingles are paired with all.
+    """
+    step, once = np.int64(MANY + 1), q is t
+    t = t[np.lexsort((size[t], shard[t]))]
+    key, q = shard[t] * step + size[t], t if once else q
+    most = np.floor((rest[q] + 1e-6) * (1 + similarity) / similarity).astype(np.int64) - size[q]
+    most = np.where(size[q] == MANY, MANY, np.clip(most, -1, MANY))
+    base = shard[q] * step
+    begin = np.arange(1, len(q) + 1) if once else np.searchsorted(key, base + size[q], "left" if equal else "right")
+    end = np.searchsorted(key, base + most, "right")
+    many, last = np.searchsorted(key, base + MANY, "left"), np.searchsorted(key, base + MANY, "right")
+    for low, high in ((begin, np.minimum(end, many)), (np.maximum(begin, many), last)):
+        n = np.maximum(high - low, 0)
+        some = np.flatnonzero(n)
+        low, n, of = low[some], n[some], q[some]
+        to, at, done = np.cumsum(n), 0, 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(to, done + COMPARED, "right")))
+            m = n[at:stop]
+            if stop == at + 1 and m[0] > COMPARED:  # one row with very many
+                for k in range(int(low[at]), int(low[at] + m[0]), COMPARED):
+                    j = t[k : min(k + COMPARED, int(low[at] + m[0]))]
+                    yield np.full(len(j), of[at]), j
+            else:
+                yield np.repeat(of[at:stop], m), t[np.arange(to[stop - 1] - done) + np.repeat(low[at:stop] - (to[at:stop] - m - done), m)]
+            at, done = stop, int(to[stop - 1])
+
+
 def cell_pairs(
-    cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, size: np.ndarray, radius: int, similarity: float
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """(i, j, nodes visited): pairs of rows of one cell whose fingerprints are within the radius and that ``can_reach``.
+    cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, size: np.ndarray, radius: int, similarity: float,
+    more: tuple[np.ndarray, np.ndarray, int] | None = None,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j, pairs compared): pairs of rows of one cell whose fingerprints are within the radius and that ``can_reach``.
 
     The last two bits of a cell's number tell the side: 0 pairs all of a cell, rows of 1 are paired with those of 2.
-    Rows of one cell and fingerprint count once, with the greatest rest and the least size among them.
+    ``more`` has second fingerprints and a radius for the distances of both together. Rows of one cell and the same
+    fingerprints count once, with the greatest rest and the least size among them.
     """
     none = np.empty(0, dtype=np.int64)
     if not len(cell):
         return none, none, 0
-    order = np.lexsort((hi, lo, cell))
-    c, x, y = cell[order], lo[order], hi[order]
-    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-    rest, size = np.maximum.reduceat(rest[order], first), np.minimum.reduceat(size[order], first)
-    order, c, x, y = order[first], c[first], x[first], y[first]
-    side = c & 3
-    out_i, out_j, visited = [none], [none], 0
-    for tree_side, query_side in ((0, 0), (1, 2)):
-        t, q = np.flatnonzero(side == tree_side), np.flatnonzero(side == query_side)
-        shard_t, shard_q = c[t] >> 2, c[q] >> 2
-        forest = BKForest(shard_t, x[t], y[t])
-        root = np.searchsorted(shard_t, shard_q, "left")
-        members = np.searchsorted(shard_t, shard_q, "right") - root
-        keep = members > (1 if tree_side == 0 else 0)
-        q, root, members = q[keep], root[keep], members[keep]
-        cuts = np.searchsorted(np.cumsum(members), np.arange(VISITS, members.sum() + VISITS, VISITS)) + 1 if len(q) else []
-        begin = 0
-        for end in cuts:
-            part = slice(begin, min(int(end), len(q)))
-            i, j = forest.within(q[part], root[part], x[q[part]], y[q[part]], radius)
-            j = t[j]
-            keep = can_reach(rest[i], size[i], rest[j], size[j], similarity)
-            if tree_side == 0:
-                keep &= i < j
-            out_i.append(order[i[keep]])
-            out_j.append(order[j[keep]])
-            begin = part.stop
-        visited += forest.visited
-    return np.concatenate(out_i), np.concatenate(out_j), visited
+    prints = [lo, hi, *(more[:2] if more else ())]
+    order = np.lexsort((*prints[::-1], cell))
+    c = cell[order]
+    prints = [x[order] for x in prints]
+    first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in (c, *prints)])]))
+    rest, size = np.maximum.reduceat(rest[order].astype(np.int64), first), np.minimum.reduceat(size[order].astype(np.int64), first)
+    order, c, prints = order[first], c[first], [x[first] for x in prints]
+    side, shard = c & 3, np.cumsum(np.concatenate([[0], (c[1:] >> 2) != (c[:-1] >> 2)]))
+    alone, one, two = (np.flatnonzero(side == k) for k in (0, 1, 2))
+    out_i, out_j, compared = [none], [none], 0
+
+    def kept(i: np.ndarray, j: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
+        if not near:
+            d = distances(prints[0][i], prints[1][i], prints[0][j], prints[1][j])
+            at = np.flatnonzero(d <= radius)
+            i, j, d = i[at], j[at], d[at]
+        elif more:
+            d = distances(prints[0][i], prints[1][i], prints[0][j], prints[1][j])
+        keep = can_reach(rest[i], size[i], rest[j], size[j], similarity)
+        if more:
+            keep &= d + distances(prints[2][i], prints[3][i], prints[2][j], prints[3][j]) <= more[2]
+        return i[keep], j[keep]
+
+    if radius <= TREE_RADIUS:
+        for t, q in ((alone, alone), (one, two)):
+            for i, j, n in _tree_pairs(shard[t], shard[q], t, q, *prints[:2], radius, t is q):
+                compared += n
+                i, j = kept(i, j, True)
+                out_i.append(order[i])
+                out_j.append(order[j])
+    else:
+        for q, t, equal in ((alone, alone, True), (two, one, True), (one, two, False)):
+            for i, j in _window_pairs(shard, rest, size, q, t, similarity, equal):
+                compared += len(i)
+                i, j = kept(i, j, False)
+                if q is one:
+                    i, j = j, i
+                out_i.append(order[i])
+                out_j.append(order[j])
+    return np.concatenate(out_i), np.concatenate(out_j), compared
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -211,14 +281,14 @@ def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, *, width: int, min_words: int, as_printed: bool | Column = False, within: str | None = None) -> DataFrame:
-    """(part, key, lo, hi, cls, sh): fingerprint, class of equal sets, and sorted shingle hashes of each long enough text.
+    """(part, key, lo, hi, lo2, hi2, cls, sh): two fingerprints, class of equal sets, and sorted shingle hashes of each long enough text.
 
     ``part`` is the value of ``within`` (null without one); ``cls`` is a 128-bit hash of the set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        seeds = _seeds(LETTERS)
+        seeds = _seeds(2 * LETTERS)
         for b in batches:
             printed = b.column("printed").to_pylist()
             texts = [print_form(t) if p else t for t, p in zip(b.column("t").to_pylist(), printed, strict=True)]
@@ -228,24 +298,25 @@ def fingerprints(df: DataFrame, key: str, text: str, *, width: int, min_words: i
             keep = (counts >= max(min_words, width)) & (np.diff(offsets) > 0)
             sh, sizes = sh[np.repeat(keep, np.diff(offsets))], np.diff(offsets)[keep]
             off = np.concatenate([[0], np.cumsum(sizes)])
-            lo, hi = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
+            bits = np.zeros((4, len(sizes)), dtype=np.uint64)  # lo, hi, lo2, hi2
             if len(sizes):
                 values = min_hashes(off, sh, seeds).astype(np.uint64)
-                for i in range(LETTERS):
-                    lo |= (values[i] & np.uint64(1)) << np.uint64(i)
-                    hi |= ((values[i] >> np.uint64(1)) & np.uint64(1)) << np.uint64(i)
+                for i in range(2 * LETTERS):
+                    second, letter = divmod(i, LETTERS)
+                    bits[2 * second] |= (values[i] & np.uint64(1)) << np.uint64(letter)
+                    bits[2 * second + 1] |= ((values[i] >> np.uint64(1)) & np.uint64(1)) << np.uint64(letter)
             sets = _binary(sh, off)
             mask = pa.array(keep)
             cls = pa.array([xxhash.xxh3_128_digest(x.as_buffer()) for x in sets], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("part").filter(mask), b.column("key").filter(mask), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), cls, sets],
-                names=["part", "key", "lo", "hi", "cls", "sh"],
+                [b.column("part").filter(mask), b.column("key").filter(mask), *(pa.array(x.view(np.int64)) for x in bits), cls, sets],
+                names=["part", "key", "lo", "hi", "lo2", "hi2", "cls", "sh"],
             )
 
     part = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
     printed = F.lit(as_printed) if isinstance(as_printed, bool) else as_printed
     slim = df.select(part.alias("part"), F.col(key).cast("string").alias("key"), F.col(text).alias("t"), F.coalesce(printed, F.lit(False)).alias("printed"))
-    return spread(slim.where("key is not null and t is not null")).mapInArrow(run, "part string, key string, lo long, hi long, cls binary, sh binary")
+    return spread(slim.where("key is not null and t is not null")).mapInArrow(run, "part string, key string, lo long, hi long, lo2 long, hi2 long, cls binary, sh binary")
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -334,19 +405,22 @@ def sketch_counts(prints: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix_of(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(in prefix, place in the set from 0) of each shingle; the order is by count, then by hash.
+def prefix_of(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, count, place in the set from 0) of the shingles in a prefix; the order is by count, then by hash.
 
     Sets of n and m shingles at Jaccard similarity t share at least t * n of them, so one of the first n - t * n + 1
-    of the one is among the first of the other, in any order that is the same for all sets.
+    of the one is among the first of the other, in any order that is the same for all sets. ``counts`` are codes below
+    256, and a batch has fewer than 2^24 sets, so that one sort of numbers does.
     """
     sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, counts, owner))
+    key = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(40), sizes) | (counts.astype(np.uint64) << np.uint64(32)) | hashes
+    key.sort()
+    owner = (key >> np.uint64(40)).astype(np.int64)
+    place = np.arange(len(key)) - offsets[owner]
     length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    place = np.empty(len(hashes), dtype=np.int64)
-    place[order] = np.arange(len(hashes)) - offsets[owner]
-    return place < length[owner], place
+    keep = place < length[owner]
+    key = key[keep]
+    return owner[keep], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((key >> np.uint64(32)) & np.uint64(255)).astype(np.uint8), place[keep]
 
 
 def can_reach(rest_a: np.ndarray, size_a: np.ndarray, rest_b: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
@@ -366,13 +440,12 @@ def shard_rows_of(offsets: np.ndarray, hashes: np.ndarray, lo: np.ndarray, hi: n
     blocks is a cell, so the rows are split before they are shuffled. Cells have 40 bits; if two shards get one
     number, their sets only meet in vain.
     """
-    code = codes[cells_of(hashes)]
-    keep, place = prefix_of(offsets, hashes, code, similarity)
-    keep &= code > 1  # a shingle of one set brings no pair
+    owner, shard, code, place = prefix_of(offsets, hashes, codes[cells_of(hashes)], similarity)
+    shared = code > 1  # a shingle of one set brings no pair
+    owner, shard, code, place = owner[shared], shard[shared].astype(np.uint64), code[shared], place[shared]
     sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
-    rest = np.where(sizes[owner] >= MANY, MANY, sizes[owner] - place[keep])
-    shard, count = hashes[keep].astype(np.uint64), LEAST[code[keep]] * 2.2  # the code is at least half the count, less a step
+    rest = np.where(sizes[owner] >= MANY, MANY, sizes[owner] - place)
+    count = LEAST[code] * 2.2  # the code is at least half the count, less a step
     blocks = np.ceil(count / shard_rows).astype(np.int64)
     small = blocks <= 1
     shift = np.uint64(26)
@@ -387,12 +460,14 @@ def shard_rows_of(offsets: np.ndarray, hashes: np.ndarray, lo: np.ndarray, hi: n
     return np.concatenate([*owners, own]), np.concatenate(cells), np.concatenate([*rests, rest])
 
 
-#: What is sent to a shard: of each set once its fingerprint, size and number of rows, then of each row cell and rest.
-SENT = {"lo": np.uint64, "hi": np.uint64, "size": np.uint16, "rows": np.uint32, "cell_hi": np.uint32, "cell_lo": np.uint8, "rest": np.uint16}
+#: What is sent to a shard: of each set once its fingerprints, size and number of rows, then of each row cell and rest.
+SENT = {"lo": np.uint64, "hi": np.uint64, "lo2": np.uint64, "hi2": np.uint64, "size": np.uint16, "rows": np.uint32, "cell_hi": np.uint32, "cell_lo": np.uint8, "rest": np.uint16}
+
 
+def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int, radius: int, both: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(lo_a, hi_a, lo_b, hi_b): first fingerprints of sets that share a shard, a repeated pair once.
 
-def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int, radius: int, turn: int = 0, turns: int = 1) -> DataFrame:
-    """(lo_a, hi_a, lo_b, hi_b): different fingerprints within the radius that share a shard, a repeated pair once.
+    The first fingerprints are within ``radius``, the distances of the first and the second together within ``both``.
 
     Of all shards only those whose turn it is; every shard has one of the ``turns``.
     """
@@ -406,9 +481,9 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
             b, off, sh = _fresh_sets(b, fresh)
             if not b.num_rows:
                 continue
-            lo, hi = (b.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
+            bits = {c: b.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi", "lo2", "hi2")}
             size = np.minimum(np.diff(off), MANY)
-            owner, cell, rest = shard_rows_of(off, sh, lo, hi, codes.value, similarity, shard_rows)
+            owner, cell, rest = shard_rows_of(off, sh, bits["lo"], bits["hi"], codes.value, similarity, shard_rows)
             if not len(owner):
                 continue
             to = (_mix(cell >> np.uint64(2)) % np.uint64(parts)).astype(np.int64)
@@ -417,13 +492,13 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
                 to, cell, owner, rest = to[now], cell[now], owner[now], rest[now]
                 if not len(to):
                     continue
-            order = np.lexsort((owner, to))
+            order = np.argsort((to << 24) | owner)
             to, cell, owner, rest = to[order], cell[order], owner[order], rest[order]
             row_cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), [len(to)]])
             first = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (owner[1:] != owner[:-1])]))
             set_cuts = np.searchsorted(first, row_cuts)
             of = owner[first]
-            by_set = {"lo": lo[of], "hi": hi[of], "size": size[of], "rows": np.diff(np.concatenate([first, [len(to)]]))}
+            by_set = {c: x[of] for c, x in bits.items()} | {"size": size[of], "rows": np.diff(np.concatenate([first, [len(to)]]))}
             by_row = {"cell_hi": cell >> np.uint64(8), "cell_lo": cell & np.uint64(255), "rest": rest}
             sent = [_binary(v.astype(SENT[k]), set_cuts) for k, v in by_set.items()] + [_binary(v.astype(SENT[k]), row_cuts) for k, v in by_row.items()]
             yield pa.RecordBatch.from_arrays([pa.array(to[row_cuts[:-1]], type=pa.int32()), *sent], names=["to", *SENT])
@@ -437,7 +512,7 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
         of = np.repeat(np.arange(len(got["lo"])), got["rows"])
         cell = (got["cell_hi"].astype(np.int64) << 8) | got["cell_lo"]
         lo, hi = got["lo"], got["hi"]
-        i, j, _ = cell_pairs(cell, lo[of], hi[of], got["rest"], got["size"][of], radius, similarity)
+        i, j, _ = cell_pairs(cell, lo[of], hi[of], got["rest"], got["size"][of], radius, similarity, (got["lo2"][of], got["hi2"][of], both))
         i, j = of[i], of[j]
         swap = (lo[i] > lo[j]) | ((lo[i] == lo[j]) & (hi[i] > hi[j]))
         a, b = np.where(swap, j, i), np.where(swap, i, j)
@@ -448,7 +523,9 @@ def candidate_pairs(prints: DataFrame, codes, similarity: float, shard_rows: int
         yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in pairs], names=["lo_a", "hi_a", "lo_b", "hi_b"])
 
     kinds = ", ".join(f"{k} binary" for k in SENT)
-    return prints.mapInArrow(send, f"to int, {kinds}").repartition(parts // turns, "to").mapInArrow(meet, "lo_a long, hi_a long, lo_b long, hi_b long").distinct()
+    # by hash some partitions would get several shares and some none
+    placed = prints.mapInArrow(send, f"to int, {kinds}").repartitionById(parts // turns, F.expr(f"cast(to / {turns} as int)"))
+    return placed.mapInArrow(meet, "lo_a long, hi_a long, lo_b long, hi_b long").distinct()
 
 
 def _bloom_at(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -497,7 +574,7 @@ def near_duplicates(
     similarity: float = 0.5,
     width: int = 3,
     min_words: int = 12,
-    shard_rows: int = 2000,
+    shard_rows: int = 50_000,
     as_printed: bool | Column = False,
     within: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -507,14 +584,14 @@ def near_duplicates(
     and text count once; texts with equal sets are one class and are never paired with each other. With ``within``
     only records of an equal value of that column (``part``) are compared. Similarity is the exact Jaccard similarity
     of the sets of 32-bit shingle hashes. Empty tables give empty results; other columns are not read. Every pair of
-    at least this similarity meets in a shard, and the radius misses one at exactly it once in a million.
+    at least this similarity meets in a shard, and both radii together miss one at exactly it with probability ``MISS``.
     """
-    radius = radius_for(similarity)
+    radius, both = radius_for(similarity, MISS / 10), radius_for(similarity, 0.9 * MISS, 2 * LETTERS)
     prints = write_shared(fingerprints(df, key, text, width=width, min_words=min_words, as_printed=as_printed, within=within))
-    bare = spread(prints.select("lo", "hi", "cls", "sh"))
+    bare = spread(prints.select("lo", "hi", "lo2", "hi2", "cls", "sh"))
     codes = df.sparkSession.sparkContext.broadcast(sketch_counts(bare))
     # what a turn shuffles is gone before the next one begins
-    met = [write_shared(candidate_pairs(bare, codes, similarity, shard_rows, radius, k, TURNS)) for k in range(TURNS)]
+    met = [write_shared(candidate_pairs(bare, codes, similarity, shard_rows, radius, both, k, TURNS)) for k in range(TURNS)]
     near = reduce(DataFrame.unionByName, met)
     # different sets with one fingerprint: rare, and as close as a pair can be
     twins = prints.groupBy("lo", "hi").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last")
@@ -535,7 +612,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("lo", "hi", "cls")), pa.array(np.diff(off), type=pa.int32()), _binary(sh[kept], cut)], names=["lo", "hi", "cls", "n", "sh"])
 
     sets = (
-        bare.mapInArrow(maybe, "lo long, hi long, cls binary, n int, sh binary")
+        bare.select("lo", "hi", "cls", "sh").mapInArrow(maybe, "lo long, hi long, cls binary, n int, sh binary")
         .repartition("lo", "hi").groupBy("lo", "hi", "cls").agg(F.any_value("n").alias("n"), F.any_value("sh").alias("sh"))
     )
     a = sets.toDF("lo_a", "hi_a", "cls_a", "n_a", "sh_a")
@@ -544,8 +621,8 @@ def near_duplicates(
     first = F.col("cls_a") < F.col("cls_b")
     ends_of = (F.when(first, F.col("cls_a")).otherwise(F.col("cls_b")).alias("cls_a"), F.when(first, F.col("cls_b")).otherwise(F.col("cls_a")).alias("cls_b"))
     turns = []
-    for k in range(TURNS):
-        some = near.where(F.expr(f"pmod(xxhash64(lo_a, hi_a), {TURNS}) = {k}"))
+    for k in range(VERIFY_TURNS):
+        some = near.where(F.expr(f"pmod(xxhash64(lo_a, hi_a), {VERIFY_TURNS}) = {k}"))
         pairs = some.join(a, ["lo_a", "hi_a"]).join(b, ["lo_b", "hi_b"]).where((same & (F.col("cls_a") < F.col("cls_b"))) | (~same & (F.col("cls_a") != F.col("cls_b"))))
         turns.append(write_shared(_verified(pairs, similarity).select(*ends_of, "similarity")))
     links = reduce(DataFrame.unionByName, turns)

@@ -103,6 +103,42 @@ def test_a_pair_can_reach_the_similarity_at_its_first_shared_shingle():
             assert neardup.can_reach(rest[0], np.array([len(a)]), rest[1], np.array([len(b)]), 0.5).all()
 
 
+def test_only_pairs_whose_sizes_and_places_allow_it_are_compared():
+    r = np.random.default_rng(8)
+    n = 600
+    size = r.integers(10, 90, n)
+    rest = size - (size * r.uniform(0.2, 0.5, n)).astype(int)
+    size[:5] = rest[:5] = neardup.MANY
+    bits = r.integers(0, 2**63, (4, n)).astype(np.uint64)
+    for sides in ([0], [1, 2]):
+        cell = (r.integers(0, 3, n) << 2) | r.choice(sides, n)
+        for both in (None, 96):
+            i, j, compared = neardup.cell_pairs(cell, bits[0], bits[1], rest, size, 48, 0.5, None if both is None else (bits[2], bits[3], both))
+            x, y = (v.reshape(-1) for v in np.indices((n, n)))
+            keep = (cell[x] >> 2 == cell[y] >> 2) & ((x < y) if sides == [0] else (cell[x] & 3 == 2) & (cell[y] & 3 == 1))
+            can = keep & neardup.can_reach(rest[x], size[x], rest[y], size[y], 0.5)
+            d = neardup.distances(bits[0][x], bits[1][x], bits[0][y], bits[1][y])
+            want = can & (d <= 48)
+            if both:
+                want &= d + neardup.distances(bits[2][x], bits[3][x], bits[2][y], bits[3][y]) <= both
+            pairs = {(min(p), max(p)) if sides == [0] else p for p in zip(i.tolist(), j.tolist(), strict=True)}
+            assert pairs == set(zip(x[want].tolist(), y[want].tolist(), strict=True)) and len(i) == len(pairs) > 50
+            assert can.sum() <= compared < 0.3 * keep.sum()
+
+
+def test_both_fingerprints_miss_hardly_any_pair_and_keep_few_unlike_ones():
+    r = np.random.default_rng(4)
+    seeds = neardup._seeds(2 * neardup.LETTERS)
+    first, both = neardup.radius_for(0.5, neardup.MISS / 10), neardup.radius_for(0.5, 0.9 * neardup.MISS, 2 * neardup.LETTERS)
+    for shared, most in ((60, 0), (8, 3)):  # of 90 shingles each: at 0.5, and at 0.05
+        sets = [r.integers(0, 2**32, 180 - shared).astype(np.uint32) for _ in range(1000)]
+        flat = np.concatenate([np.concatenate([s[:90], s[-90:]]) for s in sets])
+        letters = neardup.min_hashes(np.arange(0, len(flat) + 1, 90), flat, seeds) & 3
+        d = letters[:, ::2] != letters[:, 1::2]
+        near = (d[: neardup.LETTERS].sum(axis=0) <= first) & (d.sum(axis=0) <= both)
+        assert (near.sum() if shared == 8 else (~near).sum()) <= most
+
+
 def test_radius_misses_hardly_any():
     assert neardup.radius_for(0.5) == 39 and neardup.radius_for(1.0) == 0
 
