@@ -84,3 +84,43 @@ def test_a_crowded_day_of_copies_costs_its_distinct_texts_only(spark):
     rows = [(f"{c:04}-{k:02}", "d", t) for c in range(200) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id string, day string, t string")
     assert {r.id[:4] for r in match.greedy_distinct(df, "day", "id", "t", 0.55).collect()} == {"0000"}
+
+
+def test_a_greedy_walk_compares_whole_texts(spark, monkeypatch):
+    r = random.Random(12)
+    head = "".join(r.choice("abcdefgh ") for _ in range(160))
+    tails = ["".join(r.choice(x) for _ in range(1200)) for x in ("abcdefgh ", "ijklmnop ", "qrstuvwx ")]
+    texts = [head + tails[0], head + tails[1], head + tails[0][:1100], head, tails[2], "x" + tails[2], "", None]
+    rows = [(f"k{k:02}", d, t) for d in "defg" for k, t in enumerate(texts if d != "g" else texts[::-1])]
+    want = set()
+    for day in "defg":
+        kept = []
+        for key, _, t in (x for x in rows if x[1] == day):
+            if all(SequenceMatcher(None, t or "", k, autojunk=False).ratio() <= 0.55 for k in kept):
+                kept.append(t or "")
+                want.add((day, key))
+    assert ("d", "k01") in want and ("d", "k02") not in want  # unlike and like after one beginning
+    df = spark.createDataFrame(rows, "id string, day string, t string")
+    for walked in (match.WALKED, 1):
+        monkeypatch.setattr(match, "WALKED", walked)
+        got = [(x.day, x.id) for x in match.greedy_distinct(df, "day", "id", "t", 0.55).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_common_subsequences_of_long_texts(monkeypatch):
+    r = random.Random(13)
+    texts = ["", "a"] + ["".join(r.choice("abc") for _ in range(n)) for n in (62, 63, 64, 126, 127, 300)]
+    codes, lengths = likeness.coded(texts)
+    a, b = (x.reshape(-1) for x in np.indices((len(texts), len(texts))))
+    want = []
+    for x, y in zip(a, b, strict=True):
+        row = [0] * (len(texts[y]) + 1)
+        for c in texts[x]:
+            last = row[:]
+            for j, e in enumerate(texts[y], 1):
+                row[j] = last[j - 1] + 1 if c == e else max(row[j - 1], last[j])
+        want.append(row[-1])
+    assert likeness.common_lengths(codes, lengths, a, b).tolist() == want
+    monkeypatch.setattr(likeness, "LCS_MASKS", 1)
+    monkeypatch.setattr(likeness, "LCS_SYMBOLS", 900)
+    assert likeness.common_lengths(codes, lengths, a, b).tolist() == want
